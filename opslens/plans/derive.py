@@ -18,3 +18,35 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> (metric, ts, id, value): one metric per event type."""
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("metric"), "ts", F.col("event_id").alias("id"), "value")
+
+
+def incident_parts(spark: SparkSession, sf_dir: str):
+    """events -> incident parts keyed by user_id.
+
+    error -> alert (name from props.k, no source: default monitoring),
+    signup -> change (source 'ci' when value > 50 else missing, component
+    svc<event_id mod 7>), purchase -> related incident.
+    """
+    ev = table(spark, sf_dir, "events")
+    alerts = ev.where(F.col("event_type") == "error").select(
+        F.col("user_id").alias("incident_id"), F.col("ts").alias("fired_at"),
+        F.concat(F.lit("alert_k"), F.get_json_object("props", "$.k")).alias("name"),
+        F.lit(None).cast("string").alias("source"), F.col("event_id").alias("in_ord"))
+    changes = ev.where(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("incident_id"), F.col("ts").alias("timestamp"),
+        F.concat(F.lit("deploy "), F.col("event_id").cast("string")).alias("description"),
+        F.when(F.col("value") > 50, F.lit("ci")).alias("source"),
+        F.concat(F.lit("svc"), (F.col("event_id") % 7).cast("string")).alias("component"),
+        F.col("event_id").alias("in_ord"))
+    related = ev.where(F.col("event_type") == "purchase").select(
+        F.col("user_id").alias("incident_id"), F.col("ts").alias("start_time"),
+        F.concat(F.lit("purchase "), F.col("event_id").cast("string")).alias("title"),
+        F.col("event_id").alias("in_ord"))
+    return alerts, changes, related
+
+
+def daily_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> (metric, day, y = daily mean value)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day")).agg(
+        F.avg("value").alias("y"))
