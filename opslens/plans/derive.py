@@ -50,3 +50,41 @@ def daily_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day")).agg(
         F.avg("value").alias("y"))
+
+
+def postmortems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One markdown post-mortem per incident (user) built from its timeline
+    and its change-before-first-alert: (doc_id, name, start, text)."""
+    from opslens.operators import timeline as tlo
+
+    alerts, changes, related = incident_parts(spark, sf_dir)
+    tl = tlo.timeline(alerts, changes, related)
+    agg = tl.groupBy(F.col("incident_id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "alert").alias("n_alerts"),
+        F.min("ts").alias("start"))
+    rc = tlo.change_before_alert(alerts, changes).select(
+        F.col("incident_id").alias("doc_id"), "root_cause",
+        F.regexp_extract("root_cause", r"^Change in (\S+):", 1).alias("comp"))
+    j = agg.join(rc, "doc_id", "left")
+    comp = F.col("comp")
+    idt = F.col("doc_id").cast("string")
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("# Post-Mortem: Incident "), idt), F.lit(""),
+        F.concat(F.lit("**Date:** "), F.date_format("start", "yyyy-MM-dd")),
+        F.lit("## Summary"),
+        F.format_string("%d timeline events, %d alerts.", "n", "n_alerts"),
+        F.lit("## Root Cause"),
+        F.concat(F.lit("**Root Cause:** "), F.coalesce("root_cause", F.lit("Unknown"))),
+        F.concat(F.lit("Trigger component: "), F.coalesce(comp, F.lit("none"))),
+        F.lit("## Action Items"),
+        F.concat(F.lit("- [ ] Review alert thresholds for incident "), idt),
+        F.concat(F.lit("- Fix "), F.coalesce(comp, F.lit("monitoring")), F.lit(" rollout checks")),
+        F.format_string("| %d alerts | triage | open |", "n_alerts"),
+        F.lit("## Preventive Measures"),
+        F.concat(F.lit("1. Add canary analysis for "), F.coalesce(comp, F.lit("all services"))),
+        F.lit("- Alert on error bursts"), F.lit("* Keep runbooks current"),
+        F.lit("## Timeline"), F.format_string("- %d events", "n"))
+    name = F.concat(F.lit("incident_"), idt, F.lit("_"), F.coalesce(comp, F.lit("none")), F.lit("_"),
+                    F.date_format("start", "yyyyMMdd"), F.lit(".md"))
+    return j.select("doc_id", name.alias("name"), "start", text.alias("text"))
