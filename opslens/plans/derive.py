@@ -88,3 +88,146 @@ def postmortems(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("incident_"), idt, F.lit("_"), F.coalesce(comp, F.lit("none")), F.lit("_"),
                     F.date_format("start", "yyyyMMdd"), F.lit(".md"))
     return j.select("doc_id", name.alias("name"), "start", text.alias("text"))
+
+
+# ---- scanner reports derived from the tables (one JSON report per row) ----
+
+# The secret-scan rules applied to document lines.
+SECRET_RULES = [
+    ("generic-api-key", "Generic API Key", r'token = "[0-9a-f]{16,}"'),
+    ("email-address", "Email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("ipv4-address", "IPv4 address", r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}([^0-9.]|$)"),
+    ("card-number", "Possible card number", r"(^|[^0-9])[0-9]{16}([^0-9]|$)"),
+]
+
+
+def gitleaks_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> one secret-scan report per document (JSON array of hits)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    def scan(rid, desc, pat):
+        def hit(l, i):
+            return F.struct(F.lit(rid).alias("RuleID"), F.lit(desc).alias("Description"),
+                            path.alias("File"), (i + 1).alias("StartLine"), l.rlike(pat).alias("hit"))
+        return F.filter(F.transform("ls", hit), lambda x: x["hit"])
+
+    parts = [scan(*r) for r in SECRET_RULES]
+    allhits = F.transform(F.concat(*parts), lambda x: x.dropFields("hit"))
+    return d.select(F.to_json(allhits).alias("report"))
+
+
+def _json_str(c):
+    """JSON string literal of a column (escaped, with quotes)."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+
+
+def npm_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part -> npm audit report: advisory via object (size%3=0), via string (1), none (2)."""
+    p = table(spark, sf_dir, "part")
+    sev = F.element_at(F.array(*[F.lit(s) for s in ("critical", "high", "moderate", "low", "info")]),
+                       (F.col("p_size") % 5 + 1).cast("int"))
+    k = F.col("p_size") % 3
+    url_obj = F.concat(F.lit("https://github.com/advisories/GHSA-"), F.col("p_partkey").cast("string"),
+                       F.lit("-"), F.col("p_brand"))
+    url_str = F.concat(F.lit("https://npmjs.com/advisories/"), F.col("p_partkey").cast("string"))
+    via = (F.when(k == 0, F.concat(F.lit('[{"url":'), _json_str(url_obj), F.lit("}]")))
+           .when(k == 1, F.concat(F.lit("["), _json_str(url_str), F.lit("]"))).otherwise(F.lit("[]")))
+    rep = F.concat(F.lit('{"vulnerabilities":{'), _json_str(F.col("p_name")), F.lit(':{"severity":'),
+                   _json_str(sev), F.lit(',"via":'), via, F.lit("}}}"))
+    return p.select(rep.alias("report"))
+
+
+def pip_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey") % 4
+    sev = F.when(k == 1, "low").when(k == 2, "high").when(k == 3, "critical")
+    v = F.struct(F.concat(F.lit("PYSEC-"), F.col("s_suppkey").cast("string")).alias("id"),
+                 F.col("s_name").alias("name"),
+                 F.concat(F.lit("Supplier nation "), F.col("s_nationkey").cast("string")).alias("description"),
+                 sev.alias("severity"))
+    return s.select(F.to_json(F.array(v)).alias("report"))
+
+
+def govuln_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    osv = F.when(F.col("n_nationkey") % 5 != 0, F.struct(
+        F.concat(F.col("n_name"), F.lit(" advisory")).alias("summary"),
+        F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("details")))
+    f = F.struct(F.concat(F.lit("GO-2024-"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"))
+                 .alias("vulnerability_id"), osv.alias("osv"))
+    return n.select(F.to_json(F.struct(F.array(f).alias("findings"))).alias("report"))
+
+
+def checkov_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k3, k2 = F.col("c_custkey") % 3, F.col("c_custkey") % 2
+    chk = F.struct(
+        F.concat(F.lit("CKV_AWS_"), (F.col("c_custkey") % 300).cast("string")).alias("check_id"),
+        F.concat(F.initcap("c_mktsegment"), F.lit(" bucket policy")).alias("check_name"),
+        F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("check_message"),
+        F.when(k3 == 1, "medium").when(k3 == 2, "low").alias("severity"),
+        F.concat(F.lit("/infra/"), F.lower("c_mktsegment"), F.lit("/main.tf")).alias("file_path"),
+        F.when(k2 == 1, "Enable encryption").alias("fix_definition"))
+    rep = F.struct(F.struct(F.array(chk).alias("failed_checks")).alias("results"))
+    return c.select(F.to_json(rep).alias("report"))
+
+
+def semgrep_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    cid = F.when(F.col("html").contains("<script"), "html.security.inline-script").otherwise(
+        "html.best-practice.missing-alt")
+    r = F.struct(cid.alias("check_id"),
+                 F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("message"),
+                 F.regexp_extract("url", r"^https?://[^/]+(/[^?]*)", 1).alias("path"),
+                 F.struct((F.col("page_id") % 100 + 1).cast("int").alias("line")).alias("start"))
+    return p.select(F.to_json(F.struct(F.array(r).alias("results"))).alias("report"))
+
+
+def trivy_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders in status P -> image report with two targets."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+    key = F.col("o_orderkey")
+    yr = F.year("o_orderdate").cast("string")
+    pr = F.col("o_orderpriority")
+    sev = (F.when(pr == "1-URGENT", "CRITICAL").when(pr == "2-HIGH", "high")
+           .when(pr == "3-MEDIUM", "Medium").when(pr == "5-LOW", "low").otherwise("UNKNOWN"))
+    v1 = F.struct(
+        F.concat(F.lit("CVE-"), yr, F.lit("-"), key.cast("string")).alias("VulnerabilityID"),
+        F.when(key % 4 != 0, F.concat(F.lit("Order "), key.cast("string"), F.lit(" issue"))).alias("Title"),
+        F.concat(F.lit("Priority "), pr, F.lit(" order of customer "), F.col("o_custkey").cast("string"),
+                 F.lit(" needs attention")).alias("Description"),
+        sev.alias("Severity"),
+        F.when(key % 3 != 0, F.struct(F.concat(F.lit("1."), (key % 10).cast("string")).alias("FixedVersion")))
+        .alias("FixPublished"))
+    v2 = F.struct(
+        F.concat(F.lit("CVE-"), yr, F.lit("-"), (key + 1000000).cast("string")).alias("VulnerabilityID"),
+        F.lit(None).cast("string").alias("Title"),
+        F.concat(F.lit("Base image of order "), key.cast("string")).alias("Description"),
+        F.lit("low").alias("Severity"),
+        F.struct(F.lit(None).cast("string").alias("FixedVersion")).alias("FixPublished"))
+    rep = F.struct(F.array(F.struct(F.array(v1).alias("Vulnerabilities")),
+                           F.struct(F.array(v2).alias("Vulnerabilities"))).alias("Results"))
+    return o.select(F.to_json(rep).alias("report"))
+
+
+def plan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> one plan per supplier with one security-group-like resource."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    frm = (k % 40).cast("int")
+    ing = F.struct(F.array(F.when(F.col("s_acctbal") > 0, "0.0.0.0/0").otherwise("10.0.0.0/8"),
+                           F.lit("192.168.0.0/16")).alias("cidr_blocks"),
+                   frm.alias("from_port"), (frm + F.col("s_nationkey")).cast("int").alias("to_port"))
+    after = F.when(k % 11 != 0, F.struct(F.array(ing).alias("ingress")))
+    rc = F.struct(F.concat(F.lit("aws_security_group.sg_"), k.cast("string")).alias("address"),
+                  F.when(k % 5 == 0, "aws_instance").otherwise("aws_security_group").alias("type"),
+                  F.struct(after.alias("after")).alias("change"))
+    return s.select(F.concat(F.lit("infra/sg_"), k.cast("string"), F.lit(".tf")).alias("path"),
+                    F.to_json(F.struct(F.array(rc).alias("resource_changes"))).alias("report"))
+
+
+def all_reports(spark: SparkSession, sf_dir: str) -> dict:
+    return {"gitleaks": gitleaks_reports(spark, sf_dir), "npm": npm_reports(spark, sf_dir),
+            "pip": pip_reports(spark, sf_dir), "govuln": govuln_reports(spark, sf_dir),
+            "checkov": checkov_reports(spark, sf_dir), "semgrep": semgrep_reports(spark, sf_dir),
+            "trivy": trivy_reports(spark, sf_dir)}
