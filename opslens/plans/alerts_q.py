@@ -365,9 +365,7 @@ def absent_series(spark, sf_dir):
     ev = _events(spark, sf_dir)
     h = ev.select(F.col("event_type").alias("metric"),
                   (F.floor(epoch_seconds("ts") / 3600) * 3600).cast("long").alias("hs")).distinct()
-    bounds = h.agg(F.min("hs").alias("lo"), F.max("hs").alias("hi"))
+    lo, hi = h.agg(F.min("hs")).scalar(), h.agg(F.max("hs")).scalar()  # scalar subqueries
     metrics = h.select("metric").distinct()
-    # bounds is one row: joining it on a constant key keeps this an equi join
-    grid = (metrics.withColumn("_k", F.lit(1)).join(bounds.withColumn("_k", F.lit(1)), "_k")
-            .select("metric", F.explode(F.sequence("lo", "hi", F.lit(3600).cast("long"))).alias("hs")))
+    grid = metrics.select("metric", F.explode(F.sequence(lo, hi, F.lit(3600).cast("long"))).alias("hs"))
     return grid.join(h, ["metric", "hs"], "left_anti").select("metric", _hour_text().alias("hour"))
