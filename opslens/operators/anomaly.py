@@ -37,25 +37,54 @@ def _severity(dev, threshold: float):
     return F.when(dev > 2 * threshold, F.lit("critical")).otherwise(F.lit("warning"))
 
 
+def rolling_moments(points: DataFrame, history: int = HISTORY, chunk_rows: int = 16384,
+                    bucket_seconds: int = 3600) -> DataFrame:
+    """Per point: n, mean and sample std of the last ``history`` values
+    (current included), plus ``flat`` when all of them are equal.
+
+    O(1) work per row: running sums inside halo chunks and fixed-offset lags
+    give window sums as differences of prefix sums (values are centred on the
+    chunk's first value to keep the sums small). Constant windows are found
+    exactly by counting value changes, so std 0 is recognised exactly."""
+    o = ordered_points(points, bucket_seconds)
+    chunks = halo_chunks(o, halo=history - 1, chunk_rows=max(chunk_rows, history))
+    part = Window.partitionBy("metric", CHUNK).orderBy(ORD)
+    run = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ref = F.first("value").over(run)
+    c = (chunks.withColumn("_y", F.col("value") - ref)
+         .withColumn("_chg", F.when(F.lag("value").over(part) != F.col("value"), 1).otherwise(0))
+         .withColumn("_p1", F.sum("_y").over(run))
+         .withColumn("_p2", F.sum(F.col("_y") * F.col("_y")).over(run))
+         .withColumn("_pc", F.sum("_chg").over(run)))
+    n = F.least(F.col(ORD) + 1, F.lit(history)).cast("double")
+    s1 = F.col("_p1") - F.coalesce(F.lag("_p1", history).over(part), F.lit(0.0))
+    s2 = F.col("_p2") - F.coalesce(F.lag("_p2", history).over(part), F.lit(0.0))
+    changes = F.col("_pc") - F.coalesce(F.lag("_pc", history - 1).over(part), F.lit(0))
+    c = (c.withColumn("_n", n).withColumn("_s1", s1).withColumn("_s2", s2).withColumn("_changes", changes)
+         .where(~F.col(HALO)))
+    var = F.greatest((F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1), F.lit(0.0))
+    ref_value = F.col("value") - F.col("_y")
+    return c.select("metric", "ts", "id", "value", ORD, F.col("_n").alias("n"),
+                    (ref_value + F.col("_s1") / F.col("_n")).alias("mean"),
+                    F.when(F.col("_n") > 1, F.sqrt(var)).alias("std"),
+                    (F.col("_changes") == 0).alias("flat"))
+
+
 def rolling_sigma(points: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                   history: int = HISTORY, min_points: int = MIN_POINTS,
-                  chunk_rows: int = 65536, bucket_seconds: int = 3600) -> DataFrame:
+                  chunk_rows: int = 16384, bucket_seconds: int = 3600) -> DataFrame:
     """Flag points more than ``threshold`` sample std from the mean of the last
     ``history`` points (current point included). No verdict before
-    ``min_points`` points or when the std is 0."""
-    o = ordered_points(points, bucket_seconds)
-    chunks = halo_chunks(o, halo=history - 1, chunk_rows=max(chunk_rows, history))
-    w = Window.partitionBy("metric", CHUNK).orderBy(ORD).rowsBetween(-(history - 1), 0)
-    s = (chunks.withColumn("_mean", F.avg("value").over(w))
-         .withColumn("_std", F.stddev_samp("value").over(w))
-         .where(~F.col(HALO) & (F.col(ORD) + 1 >= min_points)))
-    dev = F.abs(F.col("value") - F.col("_mean")) / F.col("_std")
-    s = s.where(F.col("_std") > 0).withColumn("deviation", dev).where(F.col("deviation") > threshold)
+    ``min_points`` points or when the std is 0 (all values equal)."""
+    m = rolling_moments(points, history, chunk_rows, bucket_seconds)
+    dev = F.abs(F.col("value") - F.col("mean")) / F.col("std")
+    s = (m.where((F.col(ORD) + 1 >= min_points) & ~F.col("flat") & (F.col("std") > 0))
+         .withColumn("deviation", dev).where(F.col("deviation") > threshold))
     return s.select(
-        "metric", "ts", "id", "value", F.col("_mean").alias("expected_value"), "deviation",
+        "metric", "ts", "id", "value", F.col("mean").alias("expected_value"), "deviation",
         _severity(F.col("deviation"), threshold).alias("severity"),
         F.format_string("Value %.2f is %.1f std from mean %.2f", F.col("value"),
-                        F.col("deviation"), F.col("_mean")).alias("description"))
+                        F.col("deviation"), F.col("mean")).alias("description"))
 
 
 def ewma_states(points: DataFrame, alpha: float = DEFAULT_ALPHA,

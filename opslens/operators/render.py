@@ -33,8 +33,6 @@ CONVERT_FORMATS = {  # extension -> format type of the converter
     ".stl": "stl", ".ply": "ply", ".dae": "collada", ".dxf": "dxf",
 }
 
-JOB_SCHEMA = ("struct<job_id:string,project:string,variation:string,artist:string,filename:string,"
-              "input_uri:string,output_uri:string,priority:int>")
 
 
 def _c(c) -> Column:
@@ -168,15 +166,19 @@ def outcome_map(results: DataFrame, batch: str, key: str, ok: str) -> DataFrame:
 
 def parse_jobs(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """JSON job messages -> (valid, quarantine). All seven keys are required;
-    priority defaults to 0. Unparseable bodies go to quarantine too."""
-    p = df.withColumn("_j", F.from_json(body, JOB_SCHEMA))
-    missing = F.filter(F.array(*[F.when(F.col(f"_j.{k}").isNull(), F.lit(k)) for k in REQUIRED_JOB_KEYS]),
+    priority defaults to 0. Unparseable bodies go to quarantine too.
+
+    ``json_tuple`` reads every top-level key in one pass over the text (field
+    access on a ``from_json`` struct would re-parse the body per field)."""
+    keys = REQUIRED_JOB_KEYS + ["priority"]
+    p = df.select("*", F.json_tuple(body, *keys).alias(*[f"_k_{k}" for k in keys]))
+    missing = F.filter(F.array(*[F.when(F.col(f"_k_{k}").isNull(), F.lit(k)) for k in REQUIRED_JOB_KEYS]),
                        lambda x: x.isNotNull())
     p = p.withColumn("missing", missing)
-    cols = [F.col(f"_j.{k}").alias(k) for k in REQUIRED_JOB_KEYS]
+    cols = [F.col(f"_k_{k}").alias(k) for k in REQUIRED_JOB_KEYS]
     valid = p.where(F.size("missing") == 0).select(
         *[c for c in df.columns if c != body], *cols,
-        F.coalesce(F.col("_j.priority"), F.lit(0)).alias("priority"))
+        F.coalesce(F.col("_k_priority").cast("int"), F.lit(0)).alias("priority"))
     quarantine = p.where(F.size("missing") > 0).select(
         *[c for c in df.columns], F.array_join("missing", ",").alias("missing_keys"))
     return valid, quarantine
