@@ -92,7 +92,8 @@ MAX_ROWS_PER_KEY = 10 ** 15
 
 
 def linear_scan(df: DataFrame, keys: Sequence[str], ordinal: str, b: str, a: float,
-                out: str, max_rows_per_key: int = MAX_ROWS_PER_KEY) -> DataFrame:
+                out: str, max_rows_per_key: int = MAX_ROWS_PER_KEY,
+                chunk_rows: int | None = None) -> DataFrame:
     """s_k = a * s_{k-1} + b_k per key in ordinal order, with s_{-1} = 0.
 
     Exact up to floating point rounding and without any look-back cap.
@@ -104,7 +105,7 @@ def linear_scan(df: DataFrame, keys: Sequence[str], ordinal: str, b: str, a: flo
     """
     if a < 1e-290:                       # no state survives a single step
         return df.withColumn(out, F.col(b))
-    c_rows = _scan_chunk_rows(a)
+    c_rows = min(chunk_rows, _scan_chunk_rows(a)) if chunk_rows else _scan_chunk_rows(a)
     la = math.log(a)
     if max_rows_per_key <= c_rows:       # whole key fits in one chunk
         w = Window.partitionBy(*keys).orderBy(ordinal).rowsBetween(
@@ -123,7 +124,7 @@ def linear_scan(df: DataFrame, keys: Sequence[str], ordinal: str, b: str, a: flo
     lvl = f"_sc_{len(keys)}_{c_rows}"
     carried = linear_scan(tot.withColumnRenamed("_sc", lvl), keys, lvl, "_tb",
                           a ** c_rows, "_send",
-                          max_rows_per_key=-(-max_rows_per_key // c_rows))
+                          max_rows_per_key=-(-max_rows_per_key // c_rows), chunk_rows=chunk_rows)
     prev = carried.select(*keys, (F.col(lvl) + 1).alias("_sc"), F.col("_send").alias("_sprev"))
     return (t.join(prev, [*keys, "_sc"], "left")
             .withColumn(out, F.col("_sl") + F.coalesce(F.col("_sprev"), F.lit(0.0)) *
