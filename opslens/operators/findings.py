@@ -99,3 +99,28 @@ def security_report(findings: DataFrame) -> DataFrame:
     return c.groupBy("tool").agg(
         F.sum("n").alias("findings"),
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n"))))).alias("by_severity"))
+
+
+SCHEMAS = {"gitleaks": rp.GITLEAKS_SCHEMA, "npm": rp.NPM_SCHEMA, "pip": rp.PIP_SCHEMA, "govuln": rp.GO_SCHEMA,
+           "checkov": rp.CHECKOV_SCHEMA, "semgrep": rp.SEMGREP_SCHEMA, "trivy": rp.TRIVY_SCHEMA}
+
+
+def tool_status(reports: Mapping[str, DataFrame], col: str = "report") -> DataFrame:
+    """Per report kind: reports read, unreadable ones, and success when all
+    parse; plus the sets of successful and failed tools (one row)."""
+    rows = None
+    for k, df in reports.items():
+        # malformed text: from_json would give an all-null struct, so test the JSON itself
+        r = df.select(F.lit(k).alias("tool"), F.try_parse_json(col).isNull().alias("_bad"))
+        rows = r if rows is None else rows.unionByName(r)
+    per = rows.groupBy("tool").agg(F.count(F.lit(1)).alias("reports"),
+                                   F.count_if("_bad").alias("unreadable")).withColumn(
+        "success", F.col("unreadable") == 0)
+    return per
+
+
+def tool_sets(status: DataFrame) -> DataFrame:
+    """successful / failed tool sets (bounded by the number of tools)."""
+    return status.agg(
+        F.array_sort(F.collect_set(F.when(F.col("success"), F.col("tool")))).alias("successful"),
+        F.array_sort(F.collect_set(F.when(~F.col("success"), F.col("tool")))).alias("failed"))
