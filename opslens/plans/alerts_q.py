@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opslens.operators import alerts as al
 from opslens.operators import timeline as tlo
 from opslens.operators.ordered import epoch_seconds, with_ordinal
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 from opslens.tables import table
 
 R = 6
@@ -139,6 +139,7 @@ al AS (SELECT *, sum(breaching::INTEGER) OVER (PARTITION BY metric ORDER BY hs
 HOUR_FMT = "strftime(make_timestamp(hs * 1000000), '%Y-%m-%d %H:%M:%S')"
 
 
+@derived
 def _hour_grid(spark, sf_dir):
     ev = _events(spark, sf_dir)
     h = ev.groupBy(F.col("event_type").alias("metric"),

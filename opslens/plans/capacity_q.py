@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opslens.operators import capacity as cap
 from opslens.plans.derive import daily_metric
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 from opslens.tables import table
 
 SERIES_CTE = """
@@ -23,6 +23,7 @@ f AS (SELECT metric, i AS step, base_day + CAST(i AS INTEGER) AS day,
       FROM t, range(1, 31) r(i))"""
 
 
+@derived
 def _trend(spark, sf_dir):
     s = cap.daily_series(daily_metric(spark, sf_dir), "metric", "day", "y")
     return cap.trend(s, "metric")

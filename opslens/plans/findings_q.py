@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from opslens.operators import findings as fo
 from opslens.plans import derive as dv
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 from opslens.sources import reports as rp
 
 RULES_SQL = "(VALUES " + ", ".join(
-    "('{}', '{}', '{}')".format(r, d, p.replace("'", "''")) for r, d, p in dv.SECRET_RULES) + ") r(rid, descr, pat)"
+    "('{}', '{}', '{}')".format(r, d, dv.SECRET_RULES_RE2[r].replace("'", "''"))
+    for r, d, _p, _g in dv.SECRET_RULES) + ") r(rid, descr, pat)"
 
 FINDINGS_CTE = f"""
 ln AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos,
@@ -75,6 +76,7 @@ f AS (SELECT * FROM gl UNION ALL SELECT * FROM np UNION ALL SELECT * FROM pp UNI
       UNION ALL SELECT * FROM oi)"""
 
 
+@derived
 def _findings(spark, sf_dir):
     reports = dv.all_reports(spark, sf_dir)
     f = fo.union_findings(reports, ["all"])

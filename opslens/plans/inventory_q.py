@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opslens.operators import inventory as inv
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 from opslens.tables import table
 
 # fixed file names by page_id mod 10 (the tree's file kinds)
@@ -40,6 +40,7 @@ ft AS (SELECT repo, path, CASE
           ELSE '' END AS text FROM f)"""
 
 
+@derived
 def repo_files(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     repo = F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)", 1), F.lit("")), F.lit("root"))
@@ -70,6 +71,7 @@ def repo_files(spark, sf_dir):
     return p.select(repo.alias("repo"), path.alias("path"), text.alias("text"))
 
 
+@derived
 def _visible(spark, sf_dir):
     return inv.visible(repo_files(spark, sf_dir))
 

@@ -11,7 +11,7 @@ from opslens.functions import text as tx
 from opslens.operators import alerts as al
 from opslens.operators import textsearch as ts
 from opslens.plans.derive import postmortems
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 from opslens.plans.text_q import PM_CTE, kw_sql
 from opslens.sources import metrics as ms
 from opslens.streaming import monitor as sm
@@ -33,6 +33,7 @@ def _labels():
                         F.lit("job"), job)
 
 
+@derived
 def instant_responses(spark, sf_dir):
     e = _ev(spark, sf_dir)
     secs = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("string")

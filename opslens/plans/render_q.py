@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opslens.operators import filesig as fs
 from opslens.operators import render as rd
 from opslens.operators import textsearch as ts
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 from opslens.tables import table
 
 # ---------------- manifests (part) ----------------
@@ -41,6 +41,7 @@ def _part_items(spark, sf_dir):
                     folder.alias("folder"), dest.alias("dest"))
 
 
+@derived
 def manifests(spark, sf_dir):
     """One manifest per part in three shapes ({items:[...]}, bare array with a
     non-object entry, single object), with key aliases and missing keys."""
@@ -88,6 +89,7 @@ items AS (SELECT p_partkey, short_name, camera_name, layer_name, resolution,
        FROM it)"""
 
 
+@derived
 def _items(spark, sf_dir):
     return rd.read_manifest(manifests(spark, sf_dir), "manifest")
 
@@ -157,8 +159,10 @@ def layer_check(spark, sf_dir):
         "short_name", F.concat(F.lit("SPOTLAR_OFERTA_"), F.upper("w")).alias("name"))
     sup = p.select("short_name", F.concat(F.lit("SPOTLAR_SUPORTE_"), F.upper(F.col("ws")[0])).alias("name"))
     present = offer.unionByName(sup).distinct().withColumn("lname", F.lower("name"))
+    # every required name starts with 'SPOTLAR_', so 4-grams key all of them
     hits = ts.contains_join(present.select("short_name", "lname"), "lname",
-                            req.withColumn("lreq", F.lower("layer")), "lreq", keys=["short_name"])
+                            req.withColumn("lreq", F.lower("layer")), "lreq", gram_lengths=(4,),
+                            keys=["short_name"])
     found = hits.select("short_name", "layer").distinct().withColumn("found", F.lit(True))
     return req.join(found, ["short_name", "layer"], "left").select(
         "short_name", "layer", F.coalesce("found", F.lit(False)).alias("found"))
@@ -198,6 +202,7 @@ def render_config(spark, sf_dir):
 
 # ---------------- job messages (orders) ----------------
 
+@derived
 def job_bodies(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -234,6 +239,7 @@ jm AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 's3://renders-in/' || project0
               's3://renders-out/' || project0 || '/' || variation AS output_uri FROM jb)"""
 
 
+@derived
 def _jobs(spark, sf_dir):
     return rd.parse_jobs(job_bodies(spark, sf_dir), "body")
 
@@ -308,6 +314,7 @@ ls AS (SELECT job_id, arg_max_null(status, (ts, l_linenumber, l_suppkey, l_partk
        FROM pg GROUP BY job_id)"""
 
 
+@derived
 def _progress(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     failed = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")
@@ -321,6 +328,7 @@ def _progress(spark, sf_dir):
                      st.alias("status"), err.alias("error_message"))
 
 
+@derived
 def _latest(spark, sf_dir):
     from opslens.operators import risk as rk
     return rk.latest_state(_progress(spark, sf_dir), "job_id",
@@ -343,6 +351,7 @@ wc AS (SELECT 'worker-' || (job_id % 8) AS worker, count(*) AS jobs,
        FROM ls GROUP BY 1)"""
 
 
+@derived
 def _counters(spark, sf_dir):
     st = _latest(spark, sf_dir).withColumn("worker", F.concat(F.lit("worker-"), (F.col("job_id") % 8).cast("string")))
     c = rd.worker_counters(st.withColumnRenamed("frames_rendered", "frames"))
@@ -405,6 +414,7 @@ lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch, item
        WHERE rn = 1)"""
 
 
+@derived
 def _outcomes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("batch"), F.concat(F.lit("line_"), F.col("l_linenumber").cast("string")).alias("item"),
@@ -492,6 +502,7 @@ sc AS (SELECT 'P' || p_partkey AS short_name,
        FROM part)"""
 
 
+@derived
 def scripts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     nm, ty, size = F.split("p_name", " "), F.split("p_type", " "), F.col("p_size")
@@ -585,6 +596,7 @@ ASSET_KINDS = [
 ]
 
 
+@derived
 def asset_files(spark, sf_dir):
     """documents -> (path, length, content): a format header per kind followed by
     the whole text; every 7th file carries a wrong extension, every 50th is empty."""

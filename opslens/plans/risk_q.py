@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opslens.operators import risk as rk
 from opslens.operators.ordered import epoch_seconds
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 from opslens.tables import table
 
 # orders -> requested actions (includes unknown actions for the keyword and default paths)
@@ -39,6 +39,7 @@ ra AS (SELECT *, risk_level <> 'none' AS requires_approval,
                 AS auto_approve FROM r)"""
 
 
+@derived
 def _requests(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     act = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]),
@@ -139,6 +140,7 @@ rt AS (SELECT * FROM ex WHERE channel IN ('slack', 'webhook')
                            OR (channel = 'pagerduty' AND severity IN ('error', 'critical')))"""
 
 
+@derived
 def _alerts(spark, sf_dir):
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
     v = F.col("value")

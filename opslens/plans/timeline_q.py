@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opslens.operators import timeline as tlo
 from opslens.operators.ordered import ORD, epoch_seconds, with_ordinal
 from opslens.plans.derive import incident_parts, metric_points
-from opslens.plans.registry import register
+from opslens.plans.registry import derived, register
 
 TL_CTE = """
 tl AS (
@@ -26,6 +26,7 @@ tlo AS (
   SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ts, tr, in_ord) - 1 AS ord FROM tl)"""
 
 
+@derived
 def _timeline(spark, sf_dir):
     return tlo.timeline(*incident_parts(spark, sf_dir))
 

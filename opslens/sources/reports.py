@@ -59,16 +59,18 @@ def parse_npm(reports: DataFrame, col: str = "report") -> DataFrame:
     advisory object (its url) or a plain string; the id is the last URL
     segment, at most 20 characters."""
     m = reports.select(F.explode(F.from_json(col, NPM_SCHEMA)["vulnerabilities"]).alias("name", "v"))
-    via0 = F.get_json_object("v", "$.via[0]")
+    # read each entry once: severity and the via array, then its first element
+    m = m.select("name", F.json_tuple("v", "severity", "via").alias("_sev", "_via"))
+    m = m.select("name", "_sev", "_via", F.get_json_object("_via", "$[0]").alias("_via0"))
+    via0 = F.col("_via0")
     is_obj = F.ltrim(via0).startswith("{")
     url = F.when(is_obj, F.coalesce(F.get_json_object(via0, "$.url"), F.lit("npm"))).otherwise(via0)
     vid = F.when(via0.isNull(), F.lit("npm")).otherwise(
         F.substring(F.element_at(F.split(url, "/"), -1), 1, 20))
-    via_all = F.get_json_object("v", "$.via")
-    desc = F.concat(F.lit("Via: "), F.coalesce(via0, via_all, F.lit("[]")))
+    desc = F.concat(F.lit("Via: "), F.coalesce(via0, F.col("_via"), F.lit("[]")))
     return _out(m, id=vid, title=F.concat(F.lit("NPM vulnerability in "), F.col("name")),
                 description=desc,
-                severity=norm_severity(F.coalesce(F.get_json_object("v", "$.severity"), F.lit("unknown"))),
+                severity=norm_severity(F.coalesce(F.col("_sev"), F.lit("unknown"))),
                 fix=F.lit("npm audit fix --force"), tool=F.lit("npm-audit"))
 
 
