@@ -13,6 +13,7 @@ from opslens.operators import textsearch as ts
 from opslens.plans.derive import postmortems
 from opslens.plans.registry import derived, register
 from opslens.plans.text_q import PM_CTE, kw_sql
+from opslens.session import materialize
 from opslens.sources import metrics as ms
 from opslens.streaming import monitor as sm
 from opslens.tables import table
@@ -238,7 +239,7 @@ b AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(t, '^\\d+\\. ', ''), '^
 SELECT measure FROM b WHERE measure <> '' ORDER BY measure LIMIT 10""")
 def preventive_measures(spark, sf_dir):
     """Preventive measures from the 10 reports most similar to an incident type."""
-    pm = postmortems(spark, sf_dir).checkpoint()   # reused several times: materialise once
+    pm = materialize(postmortems(spark, sf_dir), "postmortems")   # reused several times: write once
     qs = spark.range(1).select(F.lit(1).cast("long").alias("item_id"), F.lit(PREVENT_Q).alias("text"))
     hits = ts.search(pm.select("doc_id", "text"), qs, limit=10)
     return ts.preventive(pm.join(hits.select("doc_id"), "doc_id").select("doc_id", "text"))
@@ -255,7 +256,7 @@ SELECT top.rank, top.doc_id, top.score, pm.name,
 FROM top JOIN pm USING (doc_id)""")
 def similar_reports(spark, sf_dir):
     """Search hits joined back to their report for title and name."""
-    pm = postmortems(spark, sf_dir).checkpoint()   # reused several times: materialise once
+    pm = materialize(postmortems(spark, sf_dir), "postmortems")   # reused several times: write once
     qs = spark.range(1).select(F.lit(1).cast("long").alias("item_id"), F.lit(SIMILAR_Q).alias("text"))
     hits = ts.search(pm.select("doc_id", "text"), qs, limit=5)
     return hits.join(pm, "doc_id").select("rank", "doc_id", "score", "name", tx.title("text").alias("title"))

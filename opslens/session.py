@@ -52,3 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df, tag: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return the re-read table: later uses read the files instead of
+    recomputing the plan, and the lineage is cut (survives lost executors)."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{tag}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
