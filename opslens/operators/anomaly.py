@@ -172,18 +172,21 @@ def history(points: DataFrame, limit: int = 100) -> DataFrame:
 
 _COOLDOWN_SCHEMA = T.StructType([T.StructField("metric", T.StringType()),
                                  T.StructField("id", T.LongType())])
+MAX_FOLD_GROUP = 100_000   # longest segment folded in one pandas group
 
 
 def cooldown(anomalies: DataFrame, seconds: float = COOLDOWN_SECONDS,
-             bucket_seconds: int = 3600) -> DataFrame:
+             bucket_seconds: int = 3600, max_group: int = MAX_FOLD_GROUP) -> DataFrame:
     """Keep an anomaly if none was emitted yet for its metric or it is strictly
     later than the last *emitted* one plus ``seconds``.
 
     The fold restarts exactly wherever two consecutive anomalies of a metric
     are more than ``seconds`` apart (the later one is always emitted), so it
     runs independently per such segment; segments are found with a lag over
-    halo chunks and numbered with a distributed prefix sum.
-    """
+    halo chunks and numbered with a distributed prefix sum. Segments up to
+    ``max_group`` rows are folded in one pandas group each; longer ones (an
+    anomaly storm) follow the emitted chain by pointer doubling, so no group
+    is unbounded."""
     a = anomalies.withColumn("_t", epoch_seconds("ts"))
     o = with_ordinal(a, ["metric"], ["ts", "id"], F.floor(F.col("_t") / bucket_seconds))
     ch = halo_chunks(o, halo=1, chunk_rows=65536)
@@ -194,7 +197,9 @@ def cooldown(anomalies: DataFrame, seconds: float = COOLDOWN_SECONDS,
                           .otherwise(0.0))
               .drop(CHUNK, HALO, "_prev"))
     seg = linear_scan(starts, ["metric"], ORD, "_start", 1.0, "_seg")
-    seg = seg.withColumn("_seg", F.round("_seg").cast("long"))
+    seg = seg.withColumn("_seg", F.round("_seg").cast("long")).select("metric", "_seg", ORD, "_t", "id")
+    sizes = seg.groupBy("metric", "_seg").agg(F.count(F.lit(1)).alias("_n"), F.min(ORD).alias("_o0"))
+    seg = seg.join(sizes, ["metric", "_seg"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORD)
@@ -203,14 +208,55 @@ def cooldown(anomalies: DataFrame, seconds: float = COOLDOWN_SECONDS,
             if last is None or t > last + seconds:
                 keep.append(i)
                 last = t
-        return pd.DataFrame({"metric": pdf["metric"].iloc[:len(keep)].to_numpy(),
-                             "id": keep})
+        return pd.DataFrame({"metric": pdf["metric"].iloc[:len(keep)].to_numpy(), "id": keep})
 
-    kept = (seg.select("metric", "_seg", ORD, "_t", "id")
-            .groupBy("metric", "_seg").applyInPandas(fold, _COOLDOWN_SCHEMA))
+    small = (seg.where(F.col("_n") <= max_group).select("metric", "_seg", ORD, "_t", "id")
+             .groupBy("metric", "_seg").applyInPandas(fold, _COOLDOWN_SCHEMA))
+    big = seg.where(F.col("_n") > max_group)
+    kept = small.unionByName(_chain_from_heads(big, seconds, bucket_seconds))
     return anomalies.join(kept, ["metric", "id"], "left_semi")
 
 
+def _chain_from_heads(rows: DataFrame, seconds: float, bucket_seconds: int) -> DataFrame:
+    """Emitted anomalies of long segments: the chain head -> next -> ... where
+    next(i) is the first anomaly later than t_i + seconds.
+
+    next(i) is a rank: rows and probes (t_i + seconds) are numbered together
+    per segment in time order (probes after rows at equal times); the probe of
+    i lands after exactly next(i) rows and i probes. Doubling tables
+    J_k = J_{k-1} o J_{k-1} and a descending sweep from each head then list
+    the whole chain in 2*log2(n) equi joins; each level is written to the
+    checkpoint folder so the lineage stays short."""
+    from opslens.session import materialize
+
+    spark = rows.sparkSession
+    if rows.isEmpty():
+        return spark.createDataFrame([], _COOLDOWN_SCHEMA)
+    r = rows.withColumn("_i", F.col(ORD) - F.col("_o0"))          # 0-based within the segment
+    keys = ["metric", "_seg"]
+    both = (r.select(*keys, F.col("_t").alias("_x"), F.lit(0).alias("_k"), "_i")
+            .unionByName(r.select(*keys, (F.col("_t") + F.lit(float(seconds))).alias("_x"), F.lit(1).alias("_k"),
+                                  "_i")))
+    both = both.withColumn("ts", F.timestamp_seconds("_x"))
+    ranked = with_ordinal(both, keys, ["_x", "_k", "_i"], F.floor(F.col("_x") / bucket_seconds), out="_c")
+    nxt = ranked.where(F.col("_k") == 1).select(*keys, "_i", (F.col("_c") - F.col("_i")).alias("_j"))
+    n_of = r.select(*keys, "_n").distinct()
+    j = materialize(nxt.join(n_of, keys).where(F.col("_j") < F.col("_n")).select(*keys, "_i", "_j"), "cooldown-j0")
+    longest = rows.agg(F.max("_n")).first()[0]
+    levels = [j]
+    for _ in range(max(1, int(longest - 1).bit_length()) - 1):
+        prev = levels[-1]
+        step = prev.alias("a").join(prev.alias("b"), (F.col("a.metric") == F.col("b.metric")) &
+                                    (F.col("a._seg") == F.col("b._seg")) & (F.col("a._j") == F.col("b._i")))
+        levels.append(materialize(step.select(F.col("a.metric").alias("metric"), F.col("a._seg").alias("_seg"),
+                                              F.col("a._i").alias("_i"), F.col("b._j").alias("_j")), "cooldown-j"))
+    chain = r.select(*keys).distinct().withColumn("_i", F.lit(0).cast("long"))
+    for lvl in reversed(levels):
+        hop = chain.join(lvl, keys + ["_i"]).select(*keys, F.col("_j").alias("_i"))
+        chain = materialize(chain.unionByName(hop).distinct(), "cooldown-chain")
+    return chain.join(r, keys + ["_i"]).select("metric", "id")
+
+
 def check_status(anomalies: DataFrame, group_cols: list[str]) -> DataFrame:
     """Per group: any critical -> critical, any anomaly -> warning, else success.
 

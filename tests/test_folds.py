@@ -102,8 +102,9 @@ def cooldown_fold(times, seconds):
     return keep
 
 
-@pytest.mark.parametrize("cool", [300, 3600, 21600])
-def test_cooldown_matches_fold(spark, cool):
+@pytest.mark.parametrize("cool,max_group", [(300, 100_000), (3600, 100_000), (21600, 100_000),
+                                            (300, 1), (21600, 1), (3600, 5)])
+def test_cooldown_matches_fold(spark, cool, max_group):
     pts = metric_points(spark, SF_SMALL)
     an = anomaly.rolling_sigma(pts, threshold=1.5)
     rows = an.orderBy("metric", "ts", "id").collect()
@@ -114,7 +115,7 @@ def test_cooldown_matches_fold(spark, cool):
     for m, rs in by.items():
         ts = [(r.ts - dt.datetime(1970, 1, 1)).total_seconds() for r in rs]
         want |= {(m, rs[i].id) for i in cooldown_fold(ts, cool)}
-    got = {(r.metric, r.id) for r in anomaly.cooldown(an, cool).collect()}
+    got = {(r.metric, r.id) for r in anomaly.cooldown(an, cool, max_group=max_group).collect()}
     assert got == want
 
 
