@@ -215,12 +215,13 @@ def latest_state(events: DataFrame, key: str, order: list[str], cols: list[str])
 def expire(requests: DataFrame, decisions: DataFrame, key: str, now: Column,
            timeout_seconds: int = APPROVAL_TIMEOUT_SECONDS) -> DataFrame:
     """requests(key, requested_at), decisions(key, decided_at, status) ->
-    status: the first decision made before the deadline; otherwise 'expired'
-    once the deadline has passed at ``now`` (final: later decisions are
-    ignored), else 'pending'."""
+    status: the first decision made between the request and the deadline;
+    otherwise 'expired' once the deadline has passed at ``now`` (final: later
+    decisions are ignored), else 'pending'."""
     deadline = F.col("requested_at") + F.expr(f"INTERVAL {timeout_seconds} SECONDS")
     r = requests.withColumn("deadline", deadline)
-    d = decisions.join(r.select(key, "deadline"), key).where(F.col("decided_at") <= F.col("deadline"))
+    d = decisions.join(r.select(key, "requested_at", "deadline"), key).where(
+        (F.col("decided_at") >= F.col("requested_at")) & (F.col("decided_at") <= F.col("deadline")))
     # earliest decision; on equal times the status order decides (deterministic)
     first = d.groupBy(key).agg(F.min(F.struct("decided_at", "status")).alias("_d"))
     j = r.join(first, key, "left")

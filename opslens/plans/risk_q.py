@@ -195,7 +195,7 @@ d AS (SELECT l_orderkey AS request_id, l_shipdate AS decided_at,
       FROM lineitem WHERE l_linestatus = 'F'),
 now AS (SELECT max(l_shipdate) AS now FROM lineitem),
 f AS (SELECT d.request_id, arg_min(d.status, (d.decided_at, d.status)) AS status, min(d.decided_at) AS decided_at
-      FROM d JOIN rq USING (request_id) WHERE d.decided_at <= rq.deadline GROUP BY 1)
+      FROM d JOIN rq USING (request_id) WHERE d.decided_at <= rq.deadline AND d.decided_at >= rq.requested_at GROUP BY 1)
 SELECT rq.request_id, rq.requested_at, rq.deadline,
        CASE WHEN f.status IS NOT NULL THEN f.status WHEN now.now > rq.deadline THEN 'expired'
             ELSE 'pending' END AS status, f.decided_at

@@ -130,3 +130,32 @@ def stream_alert_payloads(spark, sf_dir):
     routed = rk.payloads(rk.route(d))
     out = sm.run_until_caught_up(routed.select("metric", "id", "channel", "payload"), "alerts")
     return out
+
+
+@register("stream_approval_expiry", """
+WITH rq AS (SELECT o_orderkey AS request_id, o_orderdate AS requested_at,
+                   o_orderdate + INTERVAL 5184000 SECOND AS deadline FROM orders),
+d AS (SELECT l_orderkey AS request_id, l_shipdate AS decided_at,
+             CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'approved' END AS status
+      FROM lineitem WHERE l_linestatus = 'F'),
+now AS (SELECT least((SELECT max(o_orderdate) FROM orders),
+                      (SELECT max(l_shipdate) FROM lineitem WHERE l_linestatus = 'F')) AS now),
+f AS (SELECT d.request_id, arg_min(d.status, (d.decided_at, d.status)) AS status, min(d.decided_at) AS decided_at
+      FROM d JOIN rq USING (request_id) WHERE d.decided_at <= rq.deadline AND d.decided_at >= rq.requested_at GROUP BY 1),
+r AS (SELECT rq.request_id, rq.requested_at,
+             CASE WHEN f.status IS NOT NULL THEN f.status WHEN now.now > rq.deadline THEN 'expired' END AS status,
+             f.decided_at FROM rq LEFT JOIN f USING (request_id), now)
+SELECT CAST(request_id AS VARCHAR) AS request_id, status, requested_at, decided_at FROM r WHERE status IS NOT NULL""")
+def stream_approval_expiry(spark, sf_dir):
+    """Requests (orders) and decisions (finished line items) as two streams;
+    a 60-day deadline enforced by a stream-stream outer join on event time;
+    expiry is final. The join advances on the slower input's watermark
+    (Spark's default policy), so 'now' is the earlier of the two latest
+    event times."""
+    o = sm.table_stream(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderdate").alias("requested_at"))
+    li = sm.table_stream(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F").select(
+        F.col("l_orderkey").cast("string").alias("request_id"), F.col("l_shipdate").alias("decided_at"),
+        F.when(F.col("l_returnflag") == "R", "rejected").otherwise("approved").alias("status"))
+    emitted = sm.run_until_caught_up(sm.approval_expiry_stream(o, li, timeout_seconds=60 * 86400), "expiry")
+    return sm.settle_expiry(emitted)

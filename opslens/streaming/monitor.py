@@ -249,3 +249,32 @@ def dead_letters_stream(deliveries: DataFrame, key: str = "job_id", delivery: st
     d = _evt(deliveries, watermark=watermark).dropDuplicatesWithinWatermark([key, delivery])
     return d.groupBy(key).agg(F.count(F.lit(1)).alias("attempts")).withColumn(
         "dead_letter", F.col("attempts") > max_attempts)
+
+
+# ---------------- approval expiry with an event-time deadline (STR9) ----------------
+
+def approval_expiry_stream(requests: DataFrame, decisions: DataFrame, timeout_seconds: int = 3600,
+                           watermark: str = WATERMARK) -> DataFrame:
+    """requests(request_id, requested_at) LEFT OUTER JOIN decisions(request_id,
+    decided_at, status) on a decision between the request and its deadline.
+
+    Matches are emitted as they happen; a request with no match is emitted
+    (status null) once the watermark passes its deadline, which is the
+    expiry. Decisions outside the window never match, so expiry is final.
+    ``settle_expiry`` turns the emitted rows into one status per request."""
+    r = (requests.withColumn("_rt", F.col("requested_at").cast("timestamp")).withWatermark("_rt", watermark)
+         .withColumnRenamed("request_id", "_rid"))
+    d = (decisions.withColumn("_dt", F.col("decided_at").cast("timestamp")).withWatermark("_dt", watermark)
+         .withColumnRenamed("request_id", "_did"))
+    cond = F.expr(f"_did = _rid AND _dt >= _rt AND _dt <= _rt + INTERVAL {int(timeout_seconds)} SECONDS")
+    j = r.join(d, cond, "leftOuter")
+    return j.select(F.col("_rid").alias("request_id"), "requested_at", "decided_at", "status")
+
+
+def settle_expiry(emitted: DataFrame) -> DataFrame:
+    """Emitted join rows -> first decision per request (ties: status order),
+    or 'expired' for a request emitted without a match."""
+    g = emitted.groupBy("request_id", "requested_at").agg(
+        F.min(F.when(F.col("decided_at").isNotNull(), F.struct("decided_at", "status"))).alias("_d"))
+    return g.select("request_id", F.coalesce(F.col("_d.status"), F.lit("expired")).alias("status"),
+                    "requested_at", F.col("_d.decided_at").alias("decided_at"))

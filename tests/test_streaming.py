@@ -62,3 +62,20 @@ def test_clear_control_row(spark):
                                  "t-clear").collect()
     # after the clear only 6 points exist (< 10), so the spike gives no verdict
     assert [r.id for r in got] == []
+
+
+def test_approval_expiry_deadline(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    d = tempfile.mkdtemp(prefix="opslens-stream-in-")
+    rq = [("a", t0), ("b", t0), ("c", t0), ("z", t0 + dt.timedelta(hours=5))]
+    dc = [("a", t0 + dt.timedelta(minutes=30), "approved"), ("a", t0 + dt.timedelta(minutes=40), "rejected"),
+          ("c", t0 + dt.timedelta(hours=3), "approved")]
+    spark.createDataFrame(rq, "request_id string, requested_at timestamp_ntz").coalesce(1).write.parquet(d + "/rq")
+    spark.createDataFrame(dc, "request_id string, decided_at timestamp_ntz, status string").coalesce(1).write.parquet(
+        d + "/dc")
+    r = spark.readStream.schema("request_id string, requested_at timestamp_ntz").parquet(d + "/rq")
+    c = spark.readStream.schema("request_id string, decided_at timestamp_ntz, status string").parquet(d + "/dc")
+    out = sm.run_until_caught_up(sm.approval_expiry_stream(r, c, timeout_seconds=3600, watermark="1 minute"), "t-exp")
+    got = {x.request_id: x.status for x in sm.settle_expiry(out).collect()}
+    # a: first decision wins; b: silent past its deadline; c: decided too late (final); z: still open
+    assert got == {"a": "approved", "b": "expired", "c": "expired"}
