@@ -36,6 +36,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """Timestamps are UTC wall-clock values throughout (TIMESTAMP_NTZ inputs,
+    hour/day buckets, formatted periods), so the session time zone is UTC."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
