@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import held_out, id_text
+from opslens.llm.common import held_out, id_text, settle
 from opslens.llm.labelled import sample
 
 POSITIVE = 4000      # confirmed documents in the sample, at most
@@ -38,7 +38,7 @@ UNLABELLED = 10_000  # unlabelled documents in the sample, at most
 FEATURES = 4096      # kept features, at most
 BEGINNINGS = (4, 5, 6)
 STEPS = 400
-STAND = 4.0          # standard errors by which a kept feature stands out
+STAND = 5.0          # standard errors by which a kept feature stands out
 LIFT = 5.0           # times that it is as frequent in confirmed documents, at least
 SKETCH = 4           # smallest hashes that copies share
 SPEED = 0.2          # of a step
@@ -79,36 +79,15 @@ class Model(NamedTuple):
         return score
 
 
-def once(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """One document of those that share their smallest hashes: copies count once."""
-    return list({x[:SKETCH].tobytes(): x for x in map(np.sort, docs)}.values())
-
-
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-          features: int = FEATURES, steps: int = STEPS) -> Model:
-    """``positive`` and ``unlabelled``: feature ids of each document."""
-    none = Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return none
-    positive, unlabelled = once(positive), once(unlabelled)
-    ids, where = np.unique(np.concatenate([*positive, *unlabelled]).astype(np.int64), return_inverse=True)
+def train(positive: list, unlabelled: list, ids: np.ndarray, prior: float, steps: int = STEPS) -> Model:
+    """``positive`` and ``unlabelled``: the kept features (among ``ids``, sorted) of each document."""
     n, m = len(positive), len(unlabelled)
-    row = np.repeat(np.arange(n + m), [len(x) for x in [*positive, *unlabelled]])
-    in_p = np.bincount(where[row < n], minlength=len(ids))
-    in_u = np.bincount(where[row >= n], minlength=len(ids))
-    # a feature stands out by how far its share in P is above its share in U, in standard errors
-    p, u = in_p / n, in_u / m
-    pooled = (in_p + in_u) / (n + m)
-    stand = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
-    kept = np.flatnonzero((stand > STAND) & (p > LIFT * u) & (in_p >= 3))
-    kept = np.sort(kept[np.argsort(-stand[kept], kind="stable")[:features]])
-    if not len(kept):
-        return none
-    slot = np.full(len(ids), -1)
-    slot[kept] = np.arange(len(kept))
-    use = slot[where] >= 0
-    row, col = row[use], slot[where[use]]
-    theta = np.append(np.zeros(len(kept)), np.log(prior / (1 - prior)))
+    if not n or not m or not len(ids) or not 0 < prior < 1:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    every = [np.asarray(x, np.int64) for x in [*positive, *unlabelled]]
+    row = np.repeat(np.arange(n + m), [len(x) for x in every])
+    col = np.searchsorted(ids, np.concatenate(every))
+    theta = np.append(np.zeros(len(ids)), np.log(prior / (1 - prior)))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = np.bincount(row, theta[col], n + m) + theta[-1]
@@ -122,12 +101,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         else:  # the corrected negative risk is below zero: climb back
             g[:n] = prior / n * s[:n]
             g[n:] = -s[n:] / m
-        grad = np.append(np.bincount(col, g[row], len(kept)) + 1e-5 * theta[:-1], g.sum())
+        grad = np.append(np.bincount(col, g[row], len(ids)) + 1e-5 * theta[:-1], g.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad ** 2
         theta = theta - SPEED * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
     z = np.bincount(row, theta[col], n + m) + theta[-1]
-    return Model(ids[kept], theta[:-1], float(theta[-1]) - threshold(z[:n], z[n:], prior) + np.log(REJECT / (1 - REJECT)))
+    return Model(ids, theta[:-1], float(theta[-1]) - threshold(z[:n], z[n:], prior) + np.log(REJECT / (1 - REJECT)))
 
 
 def threshold(confirmed: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
@@ -144,7 +123,7 @@ def threshold(confirmed: np.ndarray, unlabelled: np.ndarray, prior: float) -> fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int = POSITIVE,
-        unlabelled: int = UNLABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+        unlabelled: int = UNLABELLED, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model:
     confirmed = sample(docs, labels, label, F.col("label") == 1, positive, id_col, text_col)
     others = sample(docs, labels, label, F.lit(True), unlabelled, id_col, text_col)
 
@@ -153,11 +132,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int
         return pd.Series([sorted({x for w in set(t.split()) for x in features_of(w)}) for t in texts])
 
     both = confirmed.withColumn("kind", F.lit(1)).unionByName(others.withColumn("kind", F.lit(0)))
-    rows = both.select("kind", hashed("text").alias("ids")).toPandas()
-    parts = [[np.asarray(x, np.int64) for x in rows["ids"][rows["kind"] == k]] for k in (1, 0)]
+    rows = both.select("kind", hashed("text").alias("ids"))
+    # copies count once: documents of a kind that share their smallest hashes
+    rows = settle(rows.groupBy("kind", F.slice("ids", 1, SKETCH).alias("sketch")).agg(F.min("ids").alias("ids")), "features")
+    sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, m = sizes.get(1, 0), sizes.get(0, 0)
+    ids = np.array(sorted(r["id"] for r in standing_out(rows, n, m, features).collect()), np.int64)
+    wanted = F.array(*map(F.lit, ids.tolist())) if len(ids) else F.array().cast("array<bigint>")
+    small = rows.select("kind", F.array_intersect("ids", wanted).alias("ids")).collect() if len(ids) else []
     fold = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     prior = fold.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    return train(parts[0], parts[1], prior)
+    return train(*[[r["ids"] for r in small if r["kind"] == k] for k in (1, 0)], ids, prior)
+
+
+def standing_out(rows: DataFrame, n: int, m: int, features: int) -> DataFrame:
+    """Features that are more frequent in the ``n`` confirmed documents (kind 1) than in the ``m``
+    unlabelled ones by enough standard errors; at most ``features``, those that stand out most."""
+    counts = rows.select("kind", F.explode("ids").alias("id")).groupBy("id").agg(
+        F.sum("kind").alias("in_p"), F.sum(1 - F.col("kind")).alias("in_u"))
+    n, m = max(n, 1), max(m, 1)
+    p, u = F.col("in_p") / n, F.col("in_u") / m
+    pooled = (F.col("in_p") + F.col("in_u")) / (n + m)
+    stand = (p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
+    return (counts.filter((F.col("in_p") >= 3) & (p > LIFT * u)).withColumn("stand", stand)
+            .filter(F.col("stand") > STAND).orderBy(F.desc("stand"), "id").limit(features))
 
 
 def score(model: Model, text: Column) -> Column:
