@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.operators.ordered import CHUNK, HALO, ORD, halo_chunks, with_ordinal
+from opslens.operators.ordered import CHUNK, HALO, ORD, halo_chunks, join_null_safe, with_ordinal
 
 # Alert templates (key, metric, threshold text, duration,
 # severity, description) as the reference defines them.
@@ -39,7 +39,7 @@ def alert_rules(metric_keys: DataFrame, tpl: DataFrame) -> DataFrame:
         F.concat_ws(" > ", "metric", "threshold").alias("expr"),
         F.col("duration").alias("for"), "severity", F.lit(RULE_TEAM).alias("team"),
         "description", F.concat(F.lit("runbooks/"), F.col("key"), F.lit(".md")).alias("runbook"),
-        F.col("metric").alias("rule_metric"), F.col("threshold").cast("double").alias("threshold"))
+        F.col("metric").alias("rule_metric"), F.expr("try_cast(threshold AS double)").alias("threshold"))
 
 
 def rules_text(rules: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def rules_text(rules: DataFrame) -> DataFrame:
 
 def evaluate_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
     """Equi join on metric key plus the theta condition value > threshold;
-    returns breaching points (rules are a small broadcast side)."""
-    return points.join(F.broadcast(rules.select("key", "name", "threshold", "severity")),
+    returns breaching points (AQE broadcasts the rules if they are small at run time)."""
+    return points.join(rules.select("key", "name", "threshold", "severity"),
                        (points["key"] == rules["key"]) & (points["value"] > rules["threshold"])
                        ).drop(rules["key"])
 
@@ -157,50 +157,43 @@ def transitions(grid: DataFrame, key: str, order: str, state: Column,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, parts: int = 256) -> DataFrame:
     """Exact linear-interpolated quantiles (position p*(n-1)) without sending a
-    whole group to one task.
+    whole group to one task, the same way for any group size.
 
-    1. percentile_approx brackets each target rank within n/accuracy ranks;
-    2. values below the bracket are only counted, values inside it are kept
-       (about 6n/accuracy per group and probability, at most `accuracy` rows
-       for groups smaller than that);
-    3. exact ranks inside the bracket give the two neighbours to interpolate.
+    1. equal values are counted before anything is ordered, so ties are one row;
+    2. percentile_approx cuts each group into ``parts`` value ranges; their exact
+       counts place every range among the ranks;
+    3. only ranges that hold a wanted rank are ordered, by distinct value.
+    A null key is a group of its own; null values are not counted.
     """
-    eps = 3.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-        F.percentile_approx(value, lo_p, accuracy).alias("_lo"),
-        F.percentile_approx(value, hi_p, accuracy).alias("_hi"))
-    # the rank bound of the sketch is eps*n, the two interpolation neighbours
-    # sit within 2 ranks of p*n; below `accuracy` rows the group is its own bracket
-    small = F.col("_n") < accuracy
-    pieces = []
-    for i, p in enumerate(probs):
-        b = stats.select(*keys, "_n", F.lit(i).alias("_q"), F.lit(p).alias("_p"),
-                         F.when(small, F.col("_min")).otherwise(F.col("_lo")[i]).alias("_blo"),
-                         F.when(small, F.col("_max")).otherwise(F.col("_hi")[i]).alias("_bhi"))
-        pieces.append(b)
-    br = pieces[0]
-    for b in pieces[1:]:
-        br = br.unionByName(b)
-    j = df.select(*keys, value).where(F.col(value).isNotNull()).join(br, keys)
-    below = j.groupBy(*keys, "_q").agg(F.count_if(F.col(value) < F.col("_blo")).alias("_below"))
-    inside = j.where((F.col(value) >= F.col("_blo")) & (F.col(value) <= F.col("_bhi")))
-    w = Window.partitionBy(*keys, "_q").orderBy(value)
-    ranked = (inside.join(below, [*keys, "_q"])
-              .withColumn("_r", F.col("_below") + F.row_number().over(w) - 1))
+    some = df.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull())
+    counts = some.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                     F.percentile_approx("_x", cuts, accuracy).alias("_b"))
+    placed = join_null_safe(counts, bounds.select(*keys, "_b"), keys).withColumn(
+        "_k", F.size(F.filter("_b", lambda b: b < F.col("_x")))).drop("_b")
+    prior = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*keys, "_k").agg(F.sum("_c").alias("_rc")).withColumn(
+        "_off", F.coalesce(F.sum("_rc").over(prior), F.lit(0)))
     pos = F.col("_p") * (F.col("_n") - 1)
-    lo_r, hi_r = F.floor(pos), F.ceil(pos)
-    picked = ranked.where((F.col("_r") == lo_r) | (F.col("_r") == hi_r)).groupBy(
-        *keys, "_q", "_p", "_n").agg(
-        F.max(F.when(F.col("_r") == lo_r, F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == hi_r, F.col(value))).alias("_vhi"))
-    frac = pos - F.floor(pos)
-    res = picked.select(*keys, "_q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("_v"))
+    wanted = bounds.select(*keys, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_q", "_p"))
+    wanted = wanted.select(*keys, "_q", (pos - F.floor(pos)).alias("_frac"), F.explode(F.array(
+        F.struct(F.floor(pos).alias("r"), F.lit(0).alias("up")), F.struct(F.ceil(pos).alias("r"), F.lit(1).alias("up"))
+    )).alias("_w"))
+    wanted = join_null_safe(wanted, ranges, keys).where(
+        (F.col("_w.r") >= F.col("_off")) & (F.col("_w.r") < F.col("_off") + F.col("_rc")))
+    held = join_null_safe(placed, wanted.select(*keys, "_k", "_off").distinct(), [*keys, "_k"])
+    w = Window.partitionBy(*keys, "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("_end", F.col("_off") + F.sum("_c").over(w)).withColumn("_from", F.col("_end") - F.col("_c"))
+    found = join_null_safe(wanted.drop("_off", "_rc"), held.drop("_off"), [*keys, "_k"]).where(
+        (F.col("_w.r") >= F.col("_from")) & (F.col("_w.r") < F.col("_end")))
+    res = found.groupBy(*keys, "_q", "_frac").agg(
+        F.max(F.when(F.col("_w.up") == 0, F.col("_x"))).alias("_lo"),
+        F.max(F.when(F.col("_w.up") == 1, F.col("_x"))).alias("_hi"))
+    res = res.select(*keys, "_q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("_v"))
     out = res.groupBy(*keys).pivot("_q", list(range(len(probs)))).agg(F.first("_v"))
     for i, p in enumerate(probs):
         out = out.withColumnRenamed(str(i), f"p{round(p * 100):d}")

@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 HEADER_BYTES = 256
 
 # Signatures in detection order (first match wins):
-# id, extensions, magic bytes as hex (or None), magic offset, text pattern (or None)
+# id, extensions, magic bytes (or None), magic offset, text pattern (or None)
 SIGNATURES = [
-    ("blender", [".blend"], "424C454E444552", 0, None),
+    ("blender", [".blend"], b"BLENDER", 0, None),
     ("maya_ascii", [".ma", ".ms"], None, 0, r"^#\s*Maya\s+\d+"),
-    ("maya_binary", [".mb"], "4D6179612042696E617279", 0, None),
-    ("3dsmax", [".max"], "C02D3D00", 0, None),
-    ("fbx", [".fbx"], "4B617964617261204642582042696E617279", 0, None),
+    ("maya_binary", [".mb"], b"Maya Binary", 0, None),
+    ("3dsmax", [".max"], b"\xc0-=\x00", 0, None),
+    ("fbx", [".fbx"], b"Kaydara FBX Binary", 0, None),
     ("fbx_ascii", [".fbx"], None, 0, r"^; FBX"),
     ("obj", [".obj"], None, 0, r"^(v|vt|vn|f|o|g|mtllib|usemtl)\s"),
     ("gltf", [".gltf", ".glb"], None, 0, r"^\s*\{"),
-    ("3ds", [".3ds"], "4D4D0103", 0, None),
+    ("3ds", [".3ds"], b"MM\x01\x03", 0, None),
     ("dxf", [".dxf"], None, 0, r"^\s*(0|SECTION|EOF)"),
     ("stl_ascii", [".stl"], None, 0, r"^solid\s+\S"),
-    ("stl_binary", [".stl"], "00000000", 0, None),
+    ("stl_binary", [".stl"], b"\x00\x00\x00\x00", 0, None),
     ("ply", [".ply"], None, 0, r"^ply\s"),
     ("collada", [".dae"], None, 0, r"^<\?xml"),
     ("ifc", [".ifc"], None, 0, r"^ISO-10303"),
@@ -79,8 +79,7 @@ def detect_format(content: Column, ext: Column, length: Column) -> Column:
     det = F.lit(None).cast("string")
     for fid, _exts, magic, off, pat in reversed(SIGNATURES):
         if magic:
-            n = len(magic) // 2
-            cond = (F.length(header) >= off + n) & (F.hex(F.substring(header, off + 1, n)) == magic)
+            cond = F.substring(header, off + 1, len(magic)) == F.lit(bytearray(magic))
         else:
             cond = text.rlike(r"(?i)\A(?:" + pat[1:] + ")") if pat.startswith("^") else text.rlike("(?i)\\A" + pat)
         det = F.when(cond, F.lit(fid)).otherwise(det)

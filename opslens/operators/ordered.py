@@ -41,13 +41,24 @@ def epoch_seconds(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; the keys come from the left side."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(renamed[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  bucket: Column, out: str = ORD) -> DataFrame:
     """Add a 0-based per-key ordinal following ``order``.
 
     ``bucket`` must be monotone non-decreasing in ``order`` within a key
     (e.g. ``floor(epoch/3600)``); it only controls how the numbering work is
-    split, never the result.
+    split, never the result. A null key is a key of its own; rows without an
+    order value come first (a null bucket).
     """
     b = df.withColumn("_bkt", bucket)
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
@@ -57,7 +68,7 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                             F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_boff"))
     inner = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
     numbered = b.withColumn("_brn", F.row_number().over(inner))
-    return (numbered.join(offsets, [*keys, "_bkt"])
+    return (join_null_safe(numbered, offsets, [*keys, "_bkt"])
             .withColumn(out, (F.col("_boff") + F.col("_brn") - 1).cast("long"))
             .drop("_bkt", "_boff", "_brn"))
 
@@ -126,7 +137,7 @@ def linear_scan(df: DataFrame, keys: Sequence[str], ordinal: str, b: str, a: flo
                           a ** c_rows, "_send",
                           max_rows_per_key=-(-max_rows_per_key // c_rows), chunk_rows=chunk_rows)
     prev = carried.select(*keys, (F.col(lvl) + 1).alias("_sc"), F.col("_send").alias("_sprev"))
-    return (t.join(prev, [*keys, "_sc"], "left")
+    return (join_null_safe(t, prev, [*keys, "_sc"], "left")
             .withColumn(out, F.col("_sl") + F.coalesce(F.col("_sprev"), F.lit(0.0)) *
                         F.exp((F.col("_sp") + 1) * la))
             .drop("_sc", "_sp", "_sl", "_sprev"))

@@ -86,7 +86,9 @@ def parse_resolution(res: str | Column) -> Column:
          .when(cm, F.regexp_extract(r, r"^(\d+),(\d+)", 1)).otherwise(F.lit(str(DEFAULT_RESOLUTION[0]))))
     h = (F.when(x, F.regexp_extract(r, r"^(\d+)[xX](\d+)", 2))
          .when(cm, F.regexp_extract(r, r"^(\d+),(\d+)", 2)).otherwise(F.lit(str(DEFAULT_RESOLUTION[1]))))
-    return F.struct(w.cast("long").alias("w"), h.cast("long").alias("h"))
+    both = w.try_cast("long").isNotNull() & h.try_cast("long").isNotNull()  # an overlong number is unreadable
+    return F.struct(*[F.when(both, c.try_cast("long")).otherwise(F.lit(d).cast("long")).alias(n)
+                      for c, d, n in zip((w, h), DEFAULT_RESOLUTION, ("w", "h"), strict=True)])
 
 
 def _is_sem(c: Column) -> Column:
@@ -166,7 +168,7 @@ def outcome_map(results: DataFrame, batch: str, key: str, ok: str) -> DataFrame:
 
 def parse_jobs(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """JSON job messages -> (valid, quarantine). All seven keys are required;
-    priority defaults to 0. Unparseable bodies go to quarantine too.
+    priority defaults to 0 (also when it is no integer). Unparseable bodies go to quarantine too.
 
     ``json_tuple`` reads every top-level key in one pass over the text (field
     access on a ``from_json`` struct would re-parse the body per field)."""
@@ -178,7 +180,7 @@ def parse_jobs(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]
     cols = [F.col(f"_k_{k}").alias(k) for k in REQUIRED_JOB_KEYS]
     valid = p.where(F.size("missing") == 0).select(
         *[c for c in df.columns if c != body], *cols,
-        F.coalesce(F.col("_k_priority").cast("int"), F.lit(0)).alias("priority"))
+        F.coalesce(F.col("_k_priority").try_cast("int"), F.lit(0)).alias("priority"))
     quarantine = p.where(F.size("missing") > 0).select(
         *[c for c in df.columns], F.array_join("missing", ",").alias("missing_keys"))
     return valid, quarantine
@@ -190,8 +192,8 @@ def split_uri(uri: str | Column) -> Column:
     u = _c(uri)
     s3 = u.startswith("s3://")
     rest = F.regexp_replace(u, "^s3://", "")
-    bucket = F.when(s3, F.split(rest, "/", 2)[0])
-    key = F.when(s3, F.coalesce(F.split(rest, "/", 2)[1], F.lit("")))
+    bucket = F.when(s3, F.get(F.split(rest, "/", 2), F.lit(0)))
+    key = F.when(s3, F.coalesce(F.get(F.split(rest, "/", 2), F.lit(1)), F.lit("")))
     local = F.when(u.startswith("file://"), F.regexp_replace(u, "^file://", ""))
     scheme = F.when(s3, "s3").when(u.startswith("file://"), "file").otherwise("unsupported")
     return F.struct(scheme.alias("scheme"), bucket.alias("bucket"), key.alias("key"), local.alias("path"))
@@ -234,7 +236,7 @@ def error_digest(stderr: str | Column, stdout: str | Column) -> Column:
     Error/ERRO (stripped); else the last 500 characters (or the stripped text)."""
     comb = F.concat(F.coalesce(_c(stderr), F.lit("")), F.coalesce(_c(stdout), F.lit("")))
     lines = F.split(comb, "\n", -1)
-    err_line = F.element_at(F.filter(lines, lambda l: l.contains("Error") | l.contains("ERRO")), 1)
+    err_line = F.get(F.filter(lines, lambda l: l.contains("Error") | l.contains("ERRO")), F.lit(0))
     tail = F.when(F.length(comb) > ERROR_TAIL,
                   F.substring(comb, F.length(comb) - ERROR_TAIL + 1, ERROR_TAIL)).otherwise(
         F.regexp_replace(comb, r"^\s+|\s+$", ""))
@@ -290,17 +292,33 @@ def render_config(rows: DataFrame) -> DataFrame:
     body = F.regexp_replace(b, "^CATEGORY:", "")
     parts = F.split(body, ";", -1)
     cat = parts[0]
-    sub = F.when(F.size(parts) >= 2, F.regexp_replace(parts[1], "^SUBCATEGORY:", "")).otherwise(parts[0])
+    sub = F.when(F.size(parts) >= 2, F.regexp_replace(F.get(parts, F.lit(1)), "^SUBCATEGORY:", "")).otherwise(parts[0])
     r = rows.where((code != "") & b.startswith("CATEGORY:"))
     return r.select(code.alias("code"), sub.alias("name"), cat.alias("category"), sub.alias("short_name"),
                     (F.coalesce(F.col("G"), F.lit("0")) == "1").alias("is_renderable"),
                     F.concat(F.lit("SPOTLAR_"), code).alias("layer_name"))
 
 
+def pair_render_list(scripts: DataFrame, lists: DataFrame) -> DataFrame:
+    """scripts(root, script, base), lists(root, folder, base, ext, path) -> script, render_list.
+
+    Of the lists under the script's root, in this order: xlsx of its base name in
+    a sub-folder of ``input``, then of ``renderlists``, then any xlsx right in
+    ``renderlists``; then the same three for xls. ``base`` is null for a list right
+    in the folder; of several the first path counts."""
+    late = F.when(F.lower("ext") == "xls", 3).when(F.lower("ext") == "xlsx", 0)
+    named = lists.where(F.col("base").isNotNull()).groupBy("root", "base").agg(F.min(F.struct(
+        (late + F.when(F.col("folder") == "input", 0).when(F.col("folder") == "renderlists", 1)).alias("rank"), "path")).alias("own"))
+    loose = lists.where(F.col("base").isNull() & (F.col("folder") == "renderlists")).groupBy("root").agg(
+        F.min(F.struct((late + 2).alias("rank"), "path")).alias("any"))
+    return (scripts.join(named, ["root", "base"], "left").join(loose, "root", "left")
+            .select("script", F.least("own", "any")["path"].alias("render_list")))
+
+
 def conversion_list(lines: DataFrame, col: str = "value") -> DataFrame:
     """'input|output' lines (at least two parts, trimmed)."""
     p = F.split(F.trim(F.col(col)), r"\|", -1)
-    return lines.where(F.size(p) >= 2).select(F.trim(p[0]).alias("input"), F.trim(p[1]).alias("output"))
+    return lines.where(F.size(p) >= 2).select(F.trim(p[0]).alias("input"), F.trim(F.get(p, F.lit(1))).alias("output"))
 
 
 def conversion_route(validated: DataFrame, force: bool = False) -> DataFrame:
@@ -329,8 +347,8 @@ def script_features(text: str | Column) -> Column:
         t.contains("sceneStateMgr").alias("has_scene_states"),
         t.contains("LayerManager").alias("has_layers"), t.contains(".rps").alias("has_presets"),
         presets.alias("preset_types"),
-        F.when(res != "", F.regexp_extract(t, r"(\d+)\s*x\s*(\d+)", 1).cast("long")).alias("res_w"),
-        F.when(res != "", F.regexp_extract(t, r"(\d+)\s*x\s*(\d+)", 2).cast("long")).alias("res_h"))
+        F.when(res != "", F.regexp_extract(t, r"(\d+)\s*x\s*(\d+)", 1).try_cast("long")).alias("res_w"),
+        F.when(res != "", F.regexp_extract(t, r"(\d+)\s*x\s*(\d+)", 2).try_cast("long")).alias("res_h"))
 
 
 def layer_refs(text: str | Column) -> Column:

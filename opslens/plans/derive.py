@@ -26,24 +26,24 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incident_parts(spark: SparkSession, sf_dir: str):
     """events -> incident parts keyed by user_id.
 
-    error -> alert (name from props.k, no source: default monitoring),
-    signup -> change (source 'ci' when value > 50 else missing, component
-    svc<event_id mod 7>), purchase -> related incident.
+    error and click -> alert (name from props.k; clicks from source 'rum', errors
+    without one: default monitoring), signup -> change (source 'ci' when value > 50
+    else missing, component svc<event_id mod 7>), purchase and view -> related incident.
     """
     ev = table(spark, sf_dir, "events")
-    alerts = ev.where(F.col("event_type") == "error").select(
+    alerts = ev.where(F.col("event_type").isin("error", "click")).select(
         F.col("user_id").alias("incident_id"), F.col("ts").alias("fired_at"),
         F.concat(F.lit("alert_k"), F.get_json_object("props", "$.k")).alias("name"),
-        F.lit(None).cast("string").alias("source"), F.col("event_id").alias("in_ord"))
+        F.when(F.col("event_type") == "click", "rum").alias("source"), F.col("event_id").alias("in_ord"))
     changes = ev.where(F.col("event_type") == "signup").select(
         F.col("user_id").alias("incident_id"), F.col("ts").alias("timestamp"),
         F.concat(F.lit("deploy "), F.col("event_id").cast("string")).alias("description"),
         F.when(F.col("value") > 50, F.lit("ci")).alias("source"),
         F.concat(F.lit("svc"), (F.col("event_id") % 7).cast("string")).alias("component"),
         F.col("event_id").alias("in_ord"))
-    related = ev.where(F.col("event_type") == "purchase").select(
+    related = ev.where(F.col("event_type").isin("purchase", "view")).select(
         F.col("user_id").alias("incident_id"), F.col("ts").alias("start_time"),
-        F.concat(F.lit("purchase "), F.col("event_id").cast("string")).alias("title"),
+        F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("title"),
         F.col("event_id").alias("in_ord"))
     return alerts, changes, related
 
@@ -212,8 +212,8 @@ def semgrep_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trivy_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders in status P -> image report with two targets."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+    """orders -> image report with two targets."""
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     yr = F.year("o_orderdate").cast("string")
     pr = F.col("o_orderpriority")

@@ -61,12 +61,12 @@ tv AS (SELECT 'CVE-' || year(o_orderdate) || '-' || o_orderkey AS id,
                    WHEN '3-MEDIUM' THEN 'MEDIUM' WHEN '5-LOW' THEN 'LOW' ELSE 'UNKNOWN' END,
               NULL::VARCHAR, NULL::INTEGER,
               CASE WHEN o_orderkey % 3 <> 0 THEN '1.' || (o_orderkey % 10) END, 'trivy'
-       FROM orders WHERE o_orderstatus = 'P'
+       FROM orders
        UNION ALL
        SELECT 'CVE-' || year(o_orderdate) || '-' || (o_orderkey + 1000000),
               left('Base image of order ' || o_orderkey, 100), 'Base image of order ' || o_orderkey,
               'LOW', NULL::VARCHAR, NULL::INTEGER, NULL::VARCHAR, 'trivy'
-       FROM orders WHERE o_orderstatus = 'P'),
+       FROM orders),
 oi AS (SELECT 'AWS_SG_001' AS id, 'Security group allows 0.0.0.0/0',
               'Security group rule allows traffic from anywhere', 'HIGH', 'infra/sg_' || s_suppkey || '.tf',
               NULL::INTEGER, NULL::VARCHAR, 'pattern-match'

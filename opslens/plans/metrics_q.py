@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import text as tx
 from opslens.operators import alerts as al
+from opslens.operators import render as rd
 from opslens.operators import textsearch as ts
 from opslens.plans.derive import postmortems
 from opslens.plans.registry import derived, register
@@ -157,52 +158,40 @@ def cpu_busy_by_instance(spark, sf_dir):
     return r.groupBy("instance").agg(F.round(100 - F.avg("irate") * 100, R).alias("busy_pct"))
 
 
+# Per root (o_orderkey mod 7): roots 0-1 hold an xlsx right in the render-list folder, 2-3 an xls, 4-6 neither,
+# and orders mod 5 have a list of their own in one of four places or none, so each rank wins somewhere.
 RL_SQL = """
-WITH sc AS (SELECT '/queue/scene_' || o_orderkey || '.ms' AS script, 'scene_' || o_orderkey AS base
-            FROM orders WHERE o_orderstatus = 'O'),
-rl AS (SELECT '/input/proj' || (o_custkey % 20) || '/scene_' || o_orderkey || '.xlsx' AS path, 'scene_' || o_orderkey AS base,
-              0 AS rk FROM orders WHERE o_orderkey % 5 = 0
-       UNION ALL SELECT '/renderlists/proj' || (o_custkey % 20) || '/scene_' || o_orderkey || '.xls', 'scene_' || o_orderkey, 4
-              FROM orders WHERE o_orderkey % 5 = 1
-       UNION ALL SELECT '/renderlists/proj' || (o_custkey % 20) || '/scene_' || o_orderkey || '.xlsx', 'scene_' || o_orderkey, 1
-              FROM orders WHERE o_orderkey % 5 = 2
-       UNION ALL SELECT '/input/proj' || (o_custkey % 20) || '/scene_' || o_orderkey || '.xls', 'scene_' || o_orderkey, 3
-              FROM orders WHERE o_orderkey % 5 = 3),
-rootx AS (SELECT min('/renderlists/' || lower(o_orderpriority[3:]) || '.xlsx') AS p FROM orders WHERE o_orderkey % 97 = 0)
-SELECT sc.script, coalesce(arg_min(rl.path, (rl.rk, rl.path)), (SELECT p FROM rootx)) AS render_list
-FROM sc LEFT JOIN rl ON rl.base = sc.base AND rl.rk IN (0, 1) GROUP BY sc.script
+WITH o AS (SELECT 'r' || (o_orderkey % 7) AS root, 'scene_' || o_orderkey AS base, o_orderkey % 5 AS place, o_orderkey % 7 AS k,
+                  '/proj' || (o_custkey % 20) || '/scene_' || o_orderkey AS tail, o_orderkey % 97 AS few FROM orders),
+rl AS (SELECT root, base, CASE place WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 4 END AS rk,
+              '/' || root || CASE WHEN place IN (0, 3) THEN '/input' ELSE '/renderlists' END || tail
+                || CASE WHEN place IN (0, 2) THEN '.xlsx' ELSE '.xls' END AS path FROM o WHERE place <> 4
+       UNION ALL
+       SELECT root, NULL, CASE WHEN k < 2 THEN 2 ELSE 5 END,
+              '/' || root || '/renderlists/' || base || CASE WHEN k < 2 THEN '.xlsx' ELSE '.xls' END FROM o WHERE few = 0 AND k < 4)
+SELECT '/' || o.root || '/queue/' || o.base || '.ms' AS script, arg_min(rl.path, (rl.rk, rl.path)) AS render_list
+FROM o LEFT JOIN rl ON rl.root = o.root AND (rl.base = o.base OR rl.base IS NULL) GROUP BY 1
 """
 
 
 @register("pair_render_list", RL_SQL)
 def pair_render_list(spark, sf_dir):
-    """Queued scripts paired with a render list by base name: xlsx under the
-    input folder, then under the render-list folders, then any xlsx in the
-    render-list root; xls only when no xlsx candidate exists at all."""
-    o = table(spark, sf_dir, "orders")
+    """Queued scripts paired with a render list by base name, all six places in order."""
     k = F.col("o_orderkey")
-    base = F.concat(F.lit("scene_"), k.cast("string"))
-    proj = F.concat(F.lit("proj"), (F.col("o_custkey") % 20).cast("string"))
-    sc = o.where(F.col("o_orderstatus") == "O").select(
-        F.concat(F.lit("/queue/"), base, F.lit(".ms")).alias("script"), base.alias("base"))
-    rl = (o.where(k % 5 == 0).select(F.concat(F.lit("/input/"), proj, F.lit("/"), base, F.lit(".xlsx")).alias("path"),
-                                     base.alias("base"), F.lit(0).alias("rk"))
-          .unionByName(o.where(k % 5 == 1).select(
-              F.concat(F.lit("/renderlists/"), proj, F.lit("/"), base, F.lit(".xls")).alias("path"),
-              base.alias("base"), F.lit(4).alias("rk")))
-          .unionByName(o.where(k % 5 == 2).select(
-              F.concat(F.lit("/renderlists/"), proj, F.lit("/"), base, F.lit(".xlsx")).alias("path"),
-              base.alias("base"), F.lit(1).alias("rk")))
-          .unionByName(o.where(k % 5 == 3).select(
-              F.concat(F.lit("/input/"), proj, F.lit("/"), base, F.lit(".xls")).alias("path"),
-              base.alias("base"), F.lit(3).alias("rk"))))
-    root = o.where(k % 97 == 0).select(
-        F.concat(F.lit("/renderlists/"), F.lower(F.substring("o_orderpriority", 3, 100)), F.lit(".xlsx")).alias("p"))
-    root_x = root.agg(F.min("p")).scalar()   # scalar subquery: any xlsx in the root
-    # an xlsx in the root always exists here, so xls candidates (ranks 3-5) never win
-    best = sc.join(rl.where(F.col("rk").isin(0, 1)), "base", "left").groupBy("script").agg(
-        F.min_by("path", F.struct("rk", "path")).alias("p"))
-    return best.select("script", F.coalesce("p", root_x).alias("render_list"))
+    o = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("r"), (k % 7).cast("string")).alias("root"), F.concat(F.lit("scene_"), k.cast("string")).alias("base"),
+        (k % 5).alias("place"), (k % 7).alias("k"), (k % 97).alias("few"),
+        F.concat(F.lit("/proj"), (F.col("o_custkey") % 20).cast("string"), F.lit("/scene_"), k.cast("string")).alias("tail"))
+    folder = F.when(F.col("place").isin(0, 3), "input").otherwise("renderlists")
+    ext = F.when(F.col("place").isin(0, 2), "xlsx").otherwise("xls")
+    own = o.where(F.col("place") != 4).select("root", folder.alias("folder"), "base", ext.alias("ext"), F.concat(
+        F.lit("/"), "root", F.lit("/"), folder, "tail", F.lit("."), ext).alias("path"))
+    kind = F.when(F.col("k") < 2, "xlsx").otherwise("xls")
+    loose = o.where((F.col("few") == 0) & (F.col("k") < 4)).select(
+        "root", F.lit("renderlists").alias("folder"), F.lit(None).cast("string").alias("base"), kind.alias("ext"),
+        F.concat(F.lit("/"), "root", F.lit("/renderlists/"), "base", F.lit("."), kind).alias("path"))
+    scripts = o.select("root", "base", F.concat(F.lit("/"), "root", F.lit("/queue/"), "base", F.lit(".ms")).alias("script"))
+    return rd.pair_render_list(scripts, own.unionByName(loose))
 
 
 SEARCH_SQL = """

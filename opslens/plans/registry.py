@@ -28,20 +28,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[QueryFn], QueryF
     return deco
 
 
-_DERIVED: dict[tuple, object] = {}
-
-
 def derived(fn):
-    """Memoise a derived input ``fn(spark, sf_dir)`` per session and folder.
-
-    DataFrames are immutable lazy plans, so reusing one is safe; it saves
-    rebuilding (and re-analysing) the same plan for every query using it."""
-    def wrapper(spark: SparkSession, sf_dir: str):
-        key = (spark.sparkContext.applicationId, fn.__module__, fn.__qualname__, sf_dir)
-        if key not in _DERIVED:
-            _DERIVED[key] = fn(spark, sf_dir)
-        return _DERIVED[key]
-    wrapper.__name__ = fn.__name__
-    wrapper.__doc__ = fn.__doc__
-    wrapper.__wrapped__ = fn
-    return wrapper
+    """Mark a derived input ``fn(spark, sf_dir)``. It is built anew for every query, so that no
+    plan outlives a changed file listing."""
+    return fn

@@ -159,10 +159,8 @@ def layer_check(spark, sf_dir):
         "short_name", F.concat(F.lit("SPOTLAR_OFERTA_"), F.upper("w")).alias("name"))
     sup = p.select("short_name", F.concat(F.lit("SPOTLAR_SUPORTE_"), F.upper(F.col("ws")[0])).alias("name"))
     present = offer.unionByName(sup).distinct().withColumn("lname", F.lower("name"))
-    # every required name starts with 'SPOTLAR_', so 4-grams key all of them
     hits = ts.contains_join(present.select("short_name", "lname"), "lname",
-                            req.withColumn("lreq", F.lower("layer")), "lreq", gram_lengths=(4,),
-                            keys=["short_name"])
+                            req.withColumn("lreq", F.lower("layer")), "lreq", keys=["short_name"])
     found = hits.select("short_name", "layer").distinct().withColumn("found", F.lit(True))
     return req.join(found, ["short_name", "layer"], "left").select(
         "short_name", "layer", F.coalesce("found", F.lit(False)).alias("found"))
@@ -170,7 +168,7 @@ def layer_check(spark, sf_dir):
 
 RC_SQL = """
 WITH rl AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'C' || p_partkey END AS A,
-                   string_split(p_type, ' ')[1] AS w1, string_split(p_type, ' ')[2] AS w2, p_size FROM part),
+                   string_split(p_type, ' ')[1] AS w1, split_part(p_name, ' ', 2) AS w2, p_size FROM part),
 r AS (SELECT A, CASE p_size % 4 WHEN 0 THEN 'CATEGORY:' || w1 || ';SUBCATEGORY:' || w2
                      WHEN 1 THEN 'CATEGORY:' || w1 WHEN 2 THEN 'CATEGORY:' || w1 || ';' || w2
                      ELSE 'Notes ' || w1 END AS B,
@@ -188,7 +186,7 @@ FROM p"""
 def render_config(spark, sf_dir):
     """Render list rows (A code, B category text, G render flag) from part."""
     p = table(spark, sf_dir, "part")
-    w = F.split("p_type", " ")
+    w = [F.get(F.split("p_type", " "), F.lit(0)), F.get(F.split("p_name", " "), F.lit(1))]
     size = F.col("p_size")
     rows = p.select(
         F.when(F.col("p_partkey") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("C"), F.col("p_partkey").cast("string"))).alias("A"),
@@ -496,7 +494,7 @@ sc AS (SELECT 'P' || p_partkey AS short_name,
                 CASE WHEN p_size % 3 = 0 THEN 'sceneStateMgr.Capture "' || p_brand || '"' END,
                 'LayerManager.getLayerFromName "SPOTLAR_OFERTA_' || string_split(p_name, ' ')[1] || '"',
                 CASE WHEN p_size % 4 <> 3 THEN 'renderPresetMRUList "' || lower(string_split(p_type, ' ')[1])
-                     || '_preview.rps" "' || lower(string_split(p_type, ' ')[2]) || '.rps"' END,
+                     || '_preview.rps" "' || lower(split_part(p_name, ' ', 2)) || '.rps"' END,
                 CASE WHEN p_size % 5 <> 0 THEN 'renderWidth = ' || (p_size * 40) || ' x ' || (p_size * 20) END,
                 'layer "SPOTLAR_SUPORTE_' || string_split(p_name, ' ')[2] || '"' || chr(13)) AS text
        FROM part)"""
@@ -505,7 +503,8 @@ sc AS (SELECT 'P' || p_partkey AS short_name,
 @derived
 def scripts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    nm, ty, size = F.split("p_name", " "), F.split("p_type", " "), F.col("p_size")
+    nm = [F.get(F.split("p_name", " "), F.lit(i)) for i in (0, 1)]
+    ty, size = [F.get(F.split("p_type", " "), F.lit(0)), nm[1]], F.col("p_size")
     k = F.col("p_partkey").cast("string")
     text = F.concat_ws(
         "\n",
@@ -575,24 +574,13 @@ def queue_discovery(spark, sf_dir):
 
 # ---------------- asset files (documents) ----------------
 
-# fixed header kinds used to build asset bytes: (hex prefix, extension)
+# Header kinds used to build asset bytes (prefix, extension)
 ASSET_KINDS = [
-    ("424C454E4445522D76333030", ".blend"),        # BLENDER-v300
-    ("424C454E444552323739", ".blend"),            # BLENDER279
-    ("23204D6179612032303230", ".ma"),             # "# Maya 2020"
-    ("4D6179612042696E617279", ".mb"),             # Maya Binary
-    ("C02D3D00", ".max"),
-    ("4B617964617261204642582042696E6172790000", ".fbx"),
-    ("3B2046425820372E34", ".fbx"),                # "; FBX 7.4"
-    ("7620312E3020322E3020332E300A", ".obj"),      # "v 1.0 2.0 3.0\n"
-    ("4D4D0103", ".3ds"),
-    ("300A53454354494F4E0A", ".dxf"),              # "0\nSECTION\n"
-    ("736F6C69642070617274", ".stl"),              # "solid part"
-    ("706C790A", ".ply"),
-    ("3C3F786D6C2076657273696F6E3D22312E30223F3E", ".dae"),
-    ("49534F2D31303330332D32313B", ".ifc"),
-    ("", ".txt"),
-    ("676C5446020000000C000000", ".glb"),          # glTF v2 header
+    (b"BLENDER-v300", ".blend"), (b"BLENDER279", ".blend"), (b"# Maya 2020", ".ma"), (b"Maya Binary", ".mb"),
+    (b"\xc0-=\x00", ".max"), (b"Kaydara FBX Binary\x00\x00", ".fbx"), (b"; FBX 7.4", ".fbx"),
+    (b"v 1.0 2.0 3.0\n", ".obj"), (b"MM\x01\x03", ".3ds"), (b"0\nSECTION\n", ".dxf"), (b"solid part", ".stl"),
+    (b"ply\n", ".ply"), (b'<?xml version="1.0"?>', ".dae"), (b"ISO-10303-21;", ".ifc"), (b"", ".txt"),
+    (b"glTF\x02\x00\x00\x00\x0c\x00\x00\x00", ".glb"),
 ]
 
 
@@ -603,28 +591,89 @@ def asset_files(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     n = len(ASSET_KINDS)
     kind = (F.col("doc_id") % n).cast("int")
-    prefix = F.element_at(F.array(*[F.lit(h) for h, _ in ASSET_KINDS]), kind + 1)
+    prefix = F.element_at(F.array(*[F.lit(bytearray(h)) for h, _ in ASSET_KINDS]), kind + 1)
     ext = F.element_at(F.array(*[F.lit(e) for _, e in ASSET_KINDS]), kind + 1)
     ext = F.when(F.col("doc_id") % 7 == 0, F.lit(".obj")).otherwise(ext)
     body = F.encode("text", "UTF-8")
-    content = F.concat(F.unhex(prefix), body)
-    content = F.when(F.col("doc_id") % 50 == 0, F.unhex(F.lit(""))).otherwise(content)
+    content = F.concat(prefix, body)
+    content = F.when(F.col("doc_id") % 50 == 0, F.lit(bytearray())).otherwise(content)
     return d.select(F.concat(F.lit("assets/doc_"), F.col("doc_id").cast("string"), ext).alias("path"),
                     content.alias("content")).withColumn("length", F.length("content").cast("long"))
 
 
-@register("file_validation")
+def _kind_rows() -> str:
+    def text(raw: bytes) -> str:  # undecodable bytes dropped; control characters spelt with chr()
+        return " || ".join(f"chr({ord(c)})" for c in raw.decode("utf-8", "ignore")) or "''"
+    return ", ".join(f"({i}, unhex('{raw.hex().upper()}'), {text(raw)}, '{ext}')"
+                     for i, (raw, ext) in enumerate(ASSET_KINDS))
+
+
+_EXPECTED = {e: ",".join(ids) for e, ids in fs.extension_formats().items()}
+VALIDATION_CTE = rf"""
+kinds(k, raw, txt, e) AS (VALUES {_kind_rows()}),
+a0 AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '.obj' ELSE e END AS ext, doc_id % 50 = 0 AS bare,
+              raw || encode(text) AS c, txt || text AS t
+       FROM documents JOIN kinds ON kinds.k = doc_id % {len(ASSET_KINDS)}),
+a1 AS (SELECT 'assets/doc_' || doc_id || ext AS path, ext, CASE WHEN bare THEN '' ELSE t END AS t,
+              CASE WHEN bare THEN '' ELSE hex(c) END AS h, CASE WHEN bare THEN 0 ELSE octet_length(c) END AS n FROM a0),
+a2 AS (SELECT *, CASE WHEN n = 0 THEN NULL
+    WHEN starts_with(h, '424C454E444552') THEN 'blender'
+    WHEN regexp_matches(t, '(?i)\A#\s*Maya\s+\d+') THEN 'maya_ascii'
+    WHEN starts_with(h, '4D6179612042696E617279') THEN 'maya_binary'
+    WHEN starts_with(h, 'C02D3D00') THEN '3dsmax'
+    WHEN starts_with(h, '4B617964617261204642582042696E617279') THEN 'fbx'
+    WHEN regexp_matches(t, '(?i)\A; FBX') THEN 'fbx_ascii'
+    WHEN regexp_matches(t, '(?i)\A(v|vt|vn|f|o|g|mtllib|usemtl)\s') THEN 'obj'
+    WHEN regexp_matches(t, '\A\s*\{{') THEN 'gltf'
+    WHEN starts_with(h, '4D4D0103') THEN '3ds'
+    WHEN regexp_matches(t, '(?i)\A\s*(0|SECTION|EOF)') THEN 'dxf'
+    WHEN regexp_matches(t, '(?i)\Asolid\s+\S') THEN 'stl_ascii'
+    WHEN starts_with(h, '00000000') THEN 'stl_binary'
+    WHEN regexp_matches(t, '(?i)\Aply\s') THEN 'ply'
+    WHEN regexp_matches(t, '(?i)\A<\?xml') THEN 'collada'
+    WHEN regexp_matches(t, '(?i)\AISO-10303') THEN 'ifc'
+    WHEN ext = '.glb' AND starts_with(h, '676C5446') THEN 'gltf'
+    WHEN ext = '.stl' AND starts_with(t, 'solid') AND n < 1000000 THEN 'stl_ascii' END AS fmt,
+  CASE ext {' '.join(f"WHEN '{e}' THEN '{ids}'" for e, ids in _EXPECTED.items())} ELSE '' END AS expected_formats FROM a1),
+a3 AS (SELECT *, CASE
+    WHEN fmt = 'blender' THEN regexp_matches(left(t, 12), '^BLENDER(\d{{3}}|[-_][vV]\d{{3}})')
+    WHEN fmt IN ('fbx', 'fbx_ascii') THEN starts_with(h, '4B617964617261204642582042696E617279')
+                                          OR (starts_with(t, '; FBX') AND contains(t, '('))
+    WHEN fmt = 'gltf' THEN substr(h, 1, 8) = '676C5446' AND substr(h, 9, 8) IN ('01000000', '02000000') AND n >= 12
+    WHEN fmt = 'obj' THEN len(list_filter(string_split(t, chr(10))[1:100],
+                                          lambda l: regexp_matches(regexp_replace(l, '^\s+|\s+$', '', 'g'), '^[vfntp]\s'))) > 0
+    WHEN fmt = 'stl_ascii' THEN contains(lower(t), 'solid') AND (contains(lower(t), 'facet') OR contains(lower(t), 'endsolid'))
+    WHEN fmt = '3ds' THEN starts_with(h, '4D4D')
+    WHEN fmt = 'maya_ascii' THEN contains(lower(left(t, 100)), 'maya') OR contains(left(t, 100), 'Mel')
+    WHEN fmt = '3dsmax' THEN n >= 4 AND len(list_filter(regexp_extract_all(substr(h, 1, 512), '..'), lambda p: p <> '00')) > 10
+    ELSE true END AS sound FROM a2),
+v AS (SELECT path, ext, fmt AS detected_format, expected_formats, CASE WHEN n = 0 THEN 'invalid' WHEN fmt IS NULL THEN 'unknown'
+    WHEN NOT list_contains(string_split(expected_formats, ','), fmt) THEN 'wrong_extension'
+    WHEN NOT sound THEN 'corrupted' ELSE 'valid' END AS status FROM a3)"""
+
+
+@register("file_validation", f"""WITH {VALIDATION_CTE}
+SELECT path, status, detected_format, expected_formats, CASE status WHEN 'invalid' THEN '{fs.MESSAGES["empty"]}'
+  WHEN 'unknown' THEN '{fs.MESSAGES["unknown"]}'
+  WHEN 'wrong_extension' THEN printf('{fs.MESSAGES["wrong_extension"]}', ext, detected_format)
+  WHEN 'corrupted' THEN '{fs.MESSAGES["corrupted"]}' ELSE '{fs.MESSAGES["valid"]}' END AS message FROM v""")
 def file_validation(spark, sf_dir):
     """Format detection, extension match and integrity over derived asset bytes."""
     return fs.validate(asset_files(spark, sf_dir))
 
 
-@register("validation_summary")
+@register("validation_summary", f"""WITH {VALIDATION_CTE}
+SELECT count(*) AS total, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status <> 'valid') AS invalid,
+  count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'wrong_extension') AS wrong_extension,
+  count(*) FILTER (status = 'corrupted') AS corrupted FROM v""")
 def validation_summary(spark, sf_dir):
     return fs.validation_summary(fs.validate(asset_files(spark, sf_dir)))
 
 
-@register("conversion_route")
+@register("conversion_route", f"""WITH {VALIDATION_CTE},
+r AS (SELECT path, status, CASE ext {' '.join(f"WHEN '{e}' THEN '{f}'" for e, f in rd.CONVERT_FORMATS.items())} END AS format_type FROM v)
+SELECT path, status, format_type, CASE WHEN status NOT IN ('valid', 'unknown') THEN 'rejected_invalid'
+  WHEN format_type IS NULL THEN 'rejected_unsupported' WHEN format_type = 'blender' THEN 'copy' ELSE 'convert' END AS route FROM r""")
 def conversion_route(spark, sf_dir):
     """Validated assets routed to copy / convert / rejection."""
     v = fs.validate(asset_files(spark, sf_dir)).select("path", "status")

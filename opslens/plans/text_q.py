@@ -60,12 +60,12 @@ def document_title(spark, sf_dir):
 
 PM_CTE = """
 tl AS (
-  SELECT user_id AS incident_id, ts, 'alert' AS event_type FROM events WHERE event_type = 'error'
+  SELECT user_id AS incident_id, ts, 'alert' AS event_type FROM events WHERE events.event_type IN ('error', 'click')
   UNION ALL SELECT user_id, ts, 'config_change' FROM events WHERE event_type = 'signup'
-  UNION ALL SELECT user_id, ts, 'related_incident' FROM events WHERE event_type = 'purchase'),
+  UNION ALL SELECT user_id, ts, 'related_incident' FROM events WHERE event_type IN ('purchase', 'view')),
 agg AS (SELECT incident_id AS doc_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'alert') AS n_alerts,
                min(ts) AS start FROM tl GROUP BY 1),
-fa AS (SELECT user_id, min(ts) AS first_alert FROM events WHERE event_type = 'error' GROUP BY 1),
+fa AS (SELECT user_id, min(ts) AS first_alert FROM events WHERE event_type IN ('error', 'click') GROUP BY 1),
 ch AS (SELECT e.user_id AS doc_id, arg_max(e.event_id, (e.ts, e.event_id)) AS cid
        FROM events e JOIN fa ON fa.user_id = e.user_id
        WHERE e.event_type = 'signup' AND e.ts < fa.first_alert GROUP BY 1),

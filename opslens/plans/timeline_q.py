@@ -13,15 +13,15 @@ TL_CTE = """
 tl AS (
   SELECT user_id AS incident_id, ts, 'alert' AS event_type,
          'Alert: alert_k' || json_extract_string(props, '$.k') AS description,
-         'monitoring' AS source, 0 AS tr, event_id AS in_ord
-  FROM events WHERE event_type = 'error'
+         CASE WHEN events.event_type = 'click' THEN 'rum' ELSE 'monitoring' END AS source, 0 AS tr, event_id AS in_ord
+  FROM events WHERE events.event_type IN ('error', 'click')
   UNION ALL
   SELECT user_id, ts, 'config_change', 'Change: deploy ' || event_id,
          CASE WHEN value > 50 THEN 'ci' ELSE 'unknown' END, 1, event_id
   FROM events WHERE event_type = 'signup'
   UNION ALL
-  SELECT user_id, ts, 'related_incident', 'Related: purchase ' || event_id, 'incident_db', 2, event_id
-  FROM events WHERE event_type = 'purchase'),
+  SELECT user_id, ts, 'related_incident', 'Related: ' || event_type || ' ' || event_id, 'incident_db', 2, event_id
+  FROM events WHERE event_type IN ('purchase', 'view')),
 tlo AS (
   SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ts, tr, in_ord) - 1 AS ord FROM tl)"""
 
@@ -100,7 +100,7 @@ def incident_duration(spark, sf_dir):
 
 @register("change_before_alert", """
 WITH a AS (SELECT user_id AS incident_id, min(ts) AS first_alert FROM events
-           WHERE event_type = 'error' GROUP BY user_id),
+           WHERE event_type IN ('error', 'click') GROUP BY user_id),
 c AS (SELECT e.user_id AS incident_id, a.first_alert, e.ts, e.event_id
       FROM events e JOIN a ON a.incident_id = e.user_id
       WHERE e.event_type = 'signup' AND e.ts < a.first_alert)

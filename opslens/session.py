@@ -7,6 +7,7 @@ exist for tests, the bench and the CLI-style entry points.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,7 +20,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.ansi.enabled": "false",
 }
 
 
@@ -47,17 +47,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster `spark.checkpoint.dir` names a shared folder and is used as
-    is. Only when it is unset (local tests) do we point it at a fresh
-    scratch folder.
+    is; without it this raises, since executors would write to their own
+    disks. Only a local master (one machine, as in tests) gets a scratch folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="opslens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="opslens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    known = spark.sparkContext.getCheckpointDir() or ""
+    if current.rpartition(":")[2].strip("/") not in known:
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 

@@ -36,6 +36,8 @@ def write_artifact(df: DataFrame, name: str, path: str) -> str:
 
 def write_security_report(findings: DataFrame, path: str) -> None:
     """Summary row per tool plus the findings, partitioned by tool."""
+    from opslens.operators.findings import security_report
+    security_report(findings).write.mode("overwrite").json(f"{path.rstrip('/')}/summary")
     findings.write.mode("overwrite").partitionBy("tool").json(f"{path.rstrip('/')}/findings")
 
 

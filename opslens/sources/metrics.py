@@ -65,7 +65,7 @@ def parse_instant(responses: DataFrame, col: str = "response") -> DataFrame:
     result is empty or the response is unreadable)."""
     r = F.from_json(col, INSTANT_SCHEMA)
     first = F.try_element_at(r["data"]["result"], F.lit(1))
-    return responses.withColumn("value", F.element_at(first["value"], 2).cast("double"))
+    return responses.withColumn("value", F.get(first["value"], F.lit(1)).try_cast("double"))
 
 
 def parse_range(responses: DataFrame, col: str = "response") -> DataFrame:
@@ -73,8 +73,8 @@ def parse_range(responses: DataFrame, col: str = "response") -> DataFrame:
     s = responses.select("*", F.explode(F.from_json(col, RANGE_SCHEMA)["data"]["result"]).alias("_s"))
     p = s.select("*", F.explode("_s.values").alias("_v"))
     return p.select(*[c for c in responses.columns if c != col], F.col("_s.metric").alias("labels"),
-                    F.timestamp_seconds(F.col("_v")[0].cast("double")).cast("timestamp_ntz").alias("ts"),
-                    F.col("_v")[1].cast("double").alias("value"))
+                    F.timestamp_seconds(F.get("_v", F.lit(0)).try_cast("double")).cast("timestamp_ntz").alias("ts"),
+                    F.get("_v", F.lit(1)).try_cast("double").alias("value"))
 
 
 def latest_period_avg(points: DataFrame, key: str = "metric", period_seconds: int = 300) -> DataFrame:
@@ -149,5 +149,4 @@ def split_key(key: str | Column) -> Column:
     """'{project}/{variation}/{timestamp}/{file...}' -> struct of the parts."""
     k = F.col(key) if isinstance(key, str) else key
     parts = F.split(k, "/", 4)
-    return F.struct(parts[0].alias("project"), parts[1].alias("variation"), parts[2].alias("stamp"),
-                    parts[3].alias("file"))
+    return F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("project", "variation", "stamp", "file"))])

@@ -14,15 +14,16 @@
   result as a batch DataFrame; update-mode queries are upserted by keeping
   the last version of every key.
 
-The reference has no watermark and works in arrival order; the watermark
-(default 10 minutes) is our addition and only drops rows that arrive later
-than that behind the newest event time seen.
+The detector has no watermark: it sorts the rows of a micro-batch by time and
+takes micro-batches in arrival order. The windowed aggregations have one
+(default 10 minutes) and drop rows that arrive later than that behind the
+newest event time of the micro-batches before; a replay of a table is one
+micro-batch and drops none.
 """
 
 from __future__ import annotations
 
 import math
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,16 +43,21 @@ SESSION_GAP = "299 seconds 999999 microseconds"   # strict '< 300 s' as the batc
 MAX_ATTEMPTS = 3
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A driver table as a file stream (declared schema, no inference)."""
-    schema = table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A driver table (a file or a folder of part files) as a file stream with a declared schema.
+
+    Without a limit a replay takes all files that are there as one micro-batch, so their
+    order does not matter and no row is late."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    # a pattern, as a stream takes a plain path for a folder; it names the file or the folder alike
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}[.]parquet")
 
 
 def _scratch(spark: SparkSession, tag: str) -> str:
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "streams", f"{tag}-{uuid.uuid4().hex[:12]}")
+    return f"{base.rstrip('/')}/streams/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def run_until_caught_up(df: DataFrame, tag: str, output_mode: str = "append",
@@ -64,17 +70,20 @@ def run_until_caught_up(df: DataFrame, tag: str, output_mode: str = "append",
     of the latest batch (an upsert without a table format)."""
     spark = df.sparkSession
     root = _scratch(spark, tag)
-    out, ck = os.path.join(root, "out"), os.path.join(root, "checkpoint")
+    out, ck = f"{root}/out", f"{root}/checkpoint"
     if output_mode == "append":
         q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
              .outputMode("append").trigger(availableNow=True).start())
     else:
         def upsert(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+            # one folder a batch: a batch that runs again replaces its own rows
+            batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+                f"{out}/batch-{batch_id}")
         q = (df.writeStream.foreachBatch(upsert).option("checkpointLocation", ck)
              .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.schema(_result_schema(df, output_mode)).parquet(out) if _exists(out) else \
+    res = spark.read.schema(_result_schema(df, output_mode)).option(
+        "recursiveFileLookup", str(output_mode != "append").lower()).parquet(out) if _exists(spark, out) else \
         spark.createDataFrame([], _result_schema(df, output_mode))
     if output_mode == "complete":       # every batch holds the whole result: keep the last one
         res = res.where(F.col("_batch") == res.agg(F.max("_batch")).scalar()).drop("_batch")
@@ -84,8 +93,10 @@ def run_until_caught_up(df: DataFrame, tag: str, output_mode: str = "append",
     return res
 
 
-def _exists(path: str) -> bool:
-    return os.path.isdir(path) and any(f.endswith(".parquet") for f in os.listdir(path))
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there, asked of its own file system (a query without a batch writes none)."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def _result_schema(df: DataFrame, mode: str):
@@ -184,14 +195,12 @@ def _detector(method: str, threshold: float, alpha: float, history: int, min_poi
 
 def detect_stream(points: DataFrame, method: str = "sigma", threshold: float = an.DEFAULT_THRESHOLD,
                   alpha: float = an.DEFAULT_ALPHA, history: int = an.HISTORY,
-                  min_points: int = an.MIN_POINTS, cooldown: float | None = None,
-                  watermark: str = WATERMARK) -> DataFrame:
+                  min_points: int = an.MIN_POINTS, cooldown: float | None = None) -> DataFrame:
     """Streaming detector over (metric, ts, id, value[, control]); emits
     anomalies (after the cooldown when given) as soon as their micro-batch is
     processed. Rows are ordered by (ts, id) inside a micro-batch; across
     micro-batches arrival order is kept, as the reference does."""
-    p = points.withColumn("_evt", F.col("ts").cast("timestamp")).withWatermark("_evt", watermark).drop("_evt")
-    return p.groupBy("metric").applyInPandasWithState(
+    return points.groupBy("metric").applyInPandasWithState(
         _detector(method, threshold, alpha, history, min_points, cooldown), OUT_SCHEMA, STATE_SCHEMA,
         "append", GroupStateTimeout.NoTimeout)
 

@@ -8,41 +8,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# A scan this large that yields fewer splits than the session's parallelism
-# (e.g. one big row group) is spread round-robin before CPU-heavy work.
-MIN_SPREAD_BYTES = 4 << 20
-
-
-_SCANS: dict[tuple[str, str], DataFrame] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it
-    (also through the optional round-robin spread). The scan DataFrame is
-    built once per session and path (footer read and split check), then
-    reused by every query that names the table."""
+    """Lazy parquet scan, listed anew for each query; Catalyst prunes columns and pushes
+    filters into it. The number of splits is Spark's (``spark.sql.files.maxPartitionBytes``)."""
     if name not in TABLES:
         raise KeyError(name)
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = spread(spark.read.parquet(path))
-        _SCANS[key] = df
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition when a large input arrives in too few splits.
-
-    On a cluster the inputs are many files and row groups, the split count
-    already exceeds the parallelism and this returns the scan unchanged."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits >= par:
-        return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < MIN_SPREAD_BYTES:
-        return df
-    return df.repartition(par)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -16,7 +16,7 @@ def py_detect(path, data):
     ext = ("." + path.rsplit(".", 1)[1].lower()) if "." in path.rsplit("/", 1)[-1] else ""
     for fid, _exts, magic, off, pat in SIGS:
         if magic:
-            m = bytes.fromhex(magic)
+            m = magic
             if off + len(m) <= len(head) and head[off:off + len(m)] == m:
                 return fid
         elif re.match(pat, text, re.MULTILINE | re.IGNORECASE):
