@@ -55,7 +55,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="opslens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     known = spark.sparkContext.getCheckpointDir() or ""
     if current.rpartition(":")[2].strip("/") not in known:
         spark.sparkContext.setCheckpointDir(current)

@@ -13,7 +13,7 @@ from opslens.operators import alerts as al
 from opslens.operators import render as rd
 from opslens.operators import textsearch as ts
 from opslens.operators.ordered import ORD, linear_scan, with_ordinal
-from opslens.plans import QUERIES
+from opslens.plans import QUERIES, more_q
 from opslens.sources import metrics as ms
 from opslens.streaming import monitor as sm
 from opslens.tables import TABLES, table
@@ -86,14 +86,11 @@ def scattered(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("stream_")))
-def test_streams_over_part_files(spark, scattered, name, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        got = QUERIES[name](spark, scattered).toPandas()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_streams_over_part_files(spark, scattered, name, tmp_path, monkeypatch):
     want = QUERIES[name](spark, SF_SMALL).toPandas()
+    for module in (sm, more_q):
+        monkeypatch.setattr(module, "ensure_checkpoint_dir", lambda _: f"file://{tmp_path}/shared")
+    got = QUERIES[name](spark, scattered).toPandas()
     cols = sorted(want.columns)
     order = [got[cols].round(6).astype(str).sort_values(cols, ignore_index=True),
              want[cols].round(6).astype(str).sort_values(cols, ignore_index=True)]
