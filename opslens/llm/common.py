@@ -23,6 +23,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with marks ahead until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's text form leaves remainder 1 by 3; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import settle
+from opslens.llm.common import fresh_name, settle
 
 N = 10
 SLICE_WORDS = 2_000_000
@@ -163,13 +163,13 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text") -> DataFrame:
     """The documents without any window of the benchmark, columns as given."""
-    own = "__hits"
+    own = fresh_name(docs, "hits")
     return with_hits(docs, benchmark, own, n, text_col=text_col).filter(n_hit(own) == 0).drop(own)
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text") -> DataFrame:
     """All documents, with the words of hit spans cut out of the text (and what separates them)."""
-    own = "__hits"
+    own = fresh_name(docs, "hits")
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:

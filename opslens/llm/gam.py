@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import held_out, id_text
+from opslens.llm.common import fresh_name, held_out, id_text
 from opslens.llm.labelled import sample
 
 SAMPLE = 12_000
@@ -218,4 +218,5 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def drop_low_quality(docs: DataFrame, model: Model, keep: float = KEEP, text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, columns as given."""
-    return docs.withColumn("__score", score(model, F.col(text_col))).filter(F.col("__score") >= keep).drop("__score")
+    own = fresh_name(docs, "score")
+    return docs.withColumn(own, score(model, F.col(text_col))).filter(F.col(own) >= keep).drop(own)

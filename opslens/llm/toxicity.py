@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.common import held_out, id_text, settle
+from opslens.llm.common import fresh_name, held_out, id_text, settle
 from opslens.llm.labelled import sample
 
 POSITIVE = 4000      # confirmed documents in the sample, at most
@@ -178,4 +178,5 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def drop_toxic(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, columns as given."""
-    return docs.withColumn("__score", score(model, F.col(text_col))).filter(F.col("__score") < reject).drop("__score")
+    own = fresh_name(docs, "score")
+    return docs.withColumn(own, score(model, F.col(text_col))).filter(F.col(own) < reject).drop(own)
