@@ -220,11 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """doc_id, fp, component_id (smallest id reachable over links, itself included)."""
     prints = settle(fingerprints(docs, id_col, text_col, shingle, seed), "fp")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-ids")
     labels = components(links(least.select("fp"), radius))
-    least = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    heads = least.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = least.join(heads, "label").select("fp", "component_id")
+    # both are written, so that the join by label below can split a class with very many members
+    linked = settle(labels.withColumnRenamed("node", "fp").join(least, "fp"), "linked")
+    heads = settle(linked.groupBy("label").agg(F.min("first").alias("component_id")), "heads")
+    linked = linked.join(heads, "label").select("fp", "component_id")
+    classes = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    classes = settle(classes, "classes")  # so that the join by fingerprint can split one with very many copies
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
