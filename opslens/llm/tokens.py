@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 
 MARK = "\x1f"  # where texts are cut; texts that hold it are cut by the exact pattern instead
 # White space other than the blank and the line end, as Python's \s has it.
