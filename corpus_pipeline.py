@@ -40,8 +40,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+    """Pieces of all documents, packed into sequences. The texts are encoded in smaller slices
+    than the operator's default, as executors still hold the memory of the stages before."""
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=0, slice_bytes=4_000_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality classifier", keep_quality), ("SimHash near-dedup", drop_near_duplicates),
