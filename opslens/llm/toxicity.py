@@ -3,14 +3,16 @@
 Two samples are drawn from the training fold: confirmed toxic documents, and
 documents whose label is not looked at (unlabelled). A document is the set of
 its words and word beginnings (hashed). Features that stand out in the
-confirmed documents against the unlabelled ones are kept, and a logistic
-classifier is trained in numpy with the risk
+confirmed documents against the clean part of the unlabelled ones (their rate
+there is what the class prior leaves of the unlabelled rate) are kept, and a
+logistic classifier is trained in numpy with the risk
 
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
 
 whose second term, the negative risk corrected by the class prior, is never
 allowed below zero (the step then goes back along its gradient). The class prior is the
-share of confirmed documents among the training fold's labelled rows. Scores are shifted so that
+share of confirmed documents among the unlabelled sample's rows, copies counted once as in
+both samples; no single row's label is used. Scores are shifted so that
 the rejecting score stands where the same risk with the 0-1 loss is smallest.
 
 Cases: a null or empty text has no features and the score of the intercept. Without
@@ -39,7 +41,7 @@ FEATURES = 4096      # kept features, at most
 BEGINNINGS = (4, 5, 6)
 STEPS = 400
 STAND = 5.0          # standard errors by which a kept feature stands out
-LIFT = 5.0           # times that it is as frequent in confirmed documents, at least
+LIFT = 5.0           # times that it is as frequent in confirmed documents as in clean ones, at least
 SKETCH = 4           # smallest hashes that copies share
 SPEED = 0.2          # of a step
 REJECT = 0.7
@@ -132,29 +134,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int
         return pd.Series([sorted({x for w in set(t.split()) for x in features_of(w)}) for t in texts])
 
     both = confirmed.withColumn("kind", F.lit(1)).unionByName(others.withColumn("kind", F.lit(0)))
-    rows = both.select("kind", hashed("text").alias("ids"))
+    rows = both.select("kind", "label", hashed("text").alias("ids"))
     # copies count once: documents of a kind that share their smallest hashes
-    rows = settle(rows.groupBy("kind", F.slice("ids", 1, SKETCH).alias("sketch")).agg(F.min("ids").alias("ids")), "features")
-    sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n, m = sizes.get(1, 0), sizes.get(0, 0)
-    ids = np.array(sorted(r["id"] for r in standing_out(rows, n, m, features).collect()), np.int64)
+    rows = settle(rows.groupBy("kind", F.slice("ids", 1, SKETCH).alias("sketch"))
+                  .agg(F.min("ids").alias("ids"), F.avg("label").alias("toxic")), "features")
+    sizes = {r["kind"]: r for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("toxic")).collect()}
+    n, m = (sizes[k]["n"] if k in sizes else 0 for k in (1, 0))
+    prior = sizes[0]["toxic"] if m else 0.0
+    ids = np.array(sorted(r["id"] for r in standing_out(rows, n, m, features, prior).collect()), np.int64)
     wanted = F.array(*map(F.lit, ids.tolist())) if len(ids) else F.array().cast("array<bigint>")
     small = rows.select("kind", F.array_intersect("ids", wanted).alias("ids")).collect() if len(ids) else []
-    fold = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    prior = fold.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     return train(*[[r["ids"] for r in small if r["kind"] == k] for k in (1, 0)], ids, prior)
 
 
-def standing_out(rows: DataFrame, n: int, m: int, features: int) -> DataFrame:
+def standing_out(rows: DataFrame, n: int, m: int, features: int, prior: float) -> DataFrame:
     """Features that are more frequent in the ``n`` confirmed documents (kind 1) than in the ``m``
-    unlabelled ones by enough standard errors; at most ``features``, those that stand out most."""
+    unlabelled ones by enough standard errors, and ``LIFT`` times as frequent as in the clean ones
+    among these, of which there are ``1 - prior``; at most ``features``, those that stand out most."""
     counts = rows.select("kind", F.explode("ids").alias("id")).groupBy("id").agg(
         F.sum("kind").alias("in_p"), F.sum(1 - F.col("kind")).alias("in_u"))
     n, m = max(n, 1), max(m, 1)
     p, u = F.col("in_p") / n, F.col("in_u") / m
     pooled = (F.col("in_p") + F.col("in_u")) / (n + m)
     stand = (p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
-    return (counts.filter((F.col("in_p") >= 3) & (p > LIFT * u)).withColumn("stand", stand)
+    clean = (u - prior * p) / max(1 - prior, 1e-9)
+    return (counts.filter((F.col("in_p") >= 3) & (p > LIFT * clean)).withColumn("stand", stand)
             .filter(F.col("stand") > STAND).orderBy(F.desc("stand"), "id").limit(features))
 
 
