@@ -36,12 +36,12 @@ from opslens.llm.tokens import SLICE_BYTES, WordEncoder, slices
 
 CAPACITY = 2048
 STEPS = 4000    # multiplicative-weight steps at most
-PRICED = 160    # lengths of the highest weight that a step prices
 SHARE = 0.5     # of the scarcest count that a step covers
 ETA = 4.0       # how fast a covered length loses weight
 PREFER = 0.05   # how much a full weight adds to a length's price
 WASTE = 0.01    # what a configuration may lack of a sequence's worth; then best fit takes over
-PASSES = 4      # times that costs are taken from the rounded solution and the program is solved anew
+PASSES = 3      # times that the program is solved, each with the weights of the one before
+DEARER = 0.02   # how much a length's dual grows whose whole count was left to best fit
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY,
@@ -81,13 +81,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
 
 def best_configuration(lengths: np.ndarray, price: np.ndarray, copies: np.ndarray, capacity: int) -> dict[int, int]:
     """Knapsack by dynamic programming over the capacity: the multiset of ``lengths`` with
-    the highest total price, each at most ``copies`` times."""
-    items = np.repeat(np.arange(len(lengths)), copies)
+    the highest total price, each at most ``copies`` times (taken in groups of 1, 2, 4, ... copies)."""
+    items = []  # (place in lengths, copies in the group)
+    for k, n in enumerate(copies.tolist()):
+        group = 1
+        while n:
+            items.append((k, min(group, n)))
+            n -= items[-1][1]
+            group *= 2
     value = np.zeros(capacity + 1)
     taken = np.zeros((len(items), capacity + 1), bool)
-    for row, k in enumerate(items.tolist()):
-        x = int(lengths[k])
-        option = value[:-x] + price[k]
+    sizes, prices = lengths.tolist(), price.tolist()
+    for row, (k, n) in enumerate(items):
+        x = sizes[k] * n
+        option = value[:-x] + prices[k] * n
         better = taken[row, x:]
         np.greater(option, value[x:], out=better)
         np.copyto(value[x:], option, where=better)
@@ -95,20 +102,19 @@ def best_configuration(lengths: np.ndarray, price: np.ndarray, copies: np.ndarra
     c = int(value.argmax())
     for row in range(len(items) - 1, -1, -1):
         if taken[row, c]:
-            x = int(lengths[items[row]])
-            found[x] = found.get(x, 0) + 1
-            c -= x
+            k, n = items[row]
+            found[sizes[k]] = found.get(sizes[k], 0) + n
+            c -= sizes[k] * n
     return found
 
 
 def fractional(left: np.ndarray, cost: np.ndarray) -> list[tuple[dict[int, int], float]]:
     """Multiplicative weights for the covering program over the counts ``left``.
 
-    ``cost`` is what a piece of each length costs in sequences (the dual value).
-    A length's weight falls by a factor for each share of its count that is
-    covered. Each step prices lengths by cost and weight, takes the
-    configuration of the highest price among the lengths of the highest weight,
-    and uses it until its scarcest length has had a fixed share of its count.
+    ``cost`` is the dual value of a piece of each length, in sequences. A length's weight
+    begins at its size and falls by a factor for each share of its count that is covered. Each
+    step prices all lengths that are not covered by cost and weight, takes the configuration of
+    the highest price, and uses it until its scarcest length has had a fixed share of its count.
     It ends when the best configuration is not worth a sequence, or all is covered.
     """
     capacity = len(left) - 1
@@ -116,22 +122,17 @@ def fractional(left: np.ndarray, cost: np.ndarray) -> list[tuple[dict[int, int],
     if not len(lengths):
         return []
     count = left[lengths].astype(float)
-    common = count * lengths > 0.02 * (count * lengths).sum()
     covered = np.zeros(len(lengths))
-    weight = np.ones(len(lengths))
-    turn = np.random.default_rng(0)
+    weight = lengths / capacity
     out = []
     for _ in range(STEPS):
         open_ = np.flatnonzero(covered < count)
-        if len(open_) > PRICED:
-            order = np.argpartition(-weight[open_] * (1 + 1e-6 * turn.random(len(open_))), PRICED)
-            open_ = np.union1d(open_[order[:PRICED]], open_[common[open_]])
         if not len(open_):
             break
         own = lengths[open_][::-1]
         price = cost[own] * (1 + PREFER * weight[open_][::-1])
         room = np.floor((count - covered)[open_][::-1] + 1e-9)
-        copies = np.minimum(np.minimum(capacity // own, np.where(common[open_][::-1], capacity, 2)), np.maximum(room, 1))
+        copies = np.minimum(capacity // own, np.maximum(room, 1))
         config = best_configuration(own, price, copies.astype(int), capacity)
         if sum(cost[x] * k for x, k in config.items()) < 1 - WASTE:
             break
@@ -156,27 +157,33 @@ class Stretch(NamedTuple):
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Stretch], int]:
     """(where the pieces of each length go, number of sequences).
 
-    The first costs come from best fit alone; each pass then solves the program,
-    rounds it, and shares each sequence's cost among its lengths by size, so
-    lengths that end in sequences with room grow dearer. The best pass is kept.
+    The first duals are the lengths' sizes. Each pass solves the program and rounds it; a
+    length grows dearer by a factor for the share of its count that rounding left over, and
+    the duals are scaled so that no configuration is worth more than a sequence. The pass with
+    the fewest sequences is kept. Best fit alone is the comparison: it is taken only if no pass
+    reaches its count.
     """
-    best = rounded(histogram, capacity, None)
-    cost = best[2]
+    alone = rounded(histogram, capacity, None)
     fewest = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    cost = np.arange(capacity + 1) / capacity
+    lengths = np.array(sorted(histogram, reverse=True), np.int64)
+    count = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    best = None
     for _ in range(PASSES):
-        if best[1] == fewest:
-            break
         found = rounded(histogram, capacity, cost)
-        if found[1] < best[1]:
+        if best is None or found[1] < best[1]:
             best = found
-        cost = np.sqrt(cost * found[2])
-    return best[:2]
+        if best[1] == fewest or not len(lengths):
+            break
+        cost[lengths] *= np.exp(DEARER * found[2][lengths] / count)
+        top = best_configuration(lengths, cost[lengths], np.minimum(capacity // lengths, count), capacity)
+        cost /= max(1.0, sum(cost[x] * k for x, k in top.items()))
+    return (best if best[1] <= alone[1] else alone)[:2]
 
 
 def rounded(histogram: dict[int, int], capacity: int, cost: np.ndarray | None) -> tuple[list[Stretch], int, np.ndarray]:
     """Solve (unless ``cost`` is None), round down, and best fit for the rest; the stretches,
-    the number of sequences, and the mean cost of a piece of each length."""
-    shared = np.zeros(capacity + 1)
+    the number of sequences, and the count of each length that was left to best fit."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -192,8 +199,6 @@ def rounded(histogram: dict[int, int], capacity: int, cost: np.ndarray | None) -
             used[length] += k * times
             left[length] -= k * times
             at += k * length
-        for length, k in config:
-            shared[length] += k * times * length / at
         sequences += times
 
     if left[capacity]:
@@ -229,7 +234,7 @@ def rounded(histogram: dict[int, int], capacity: int, cost: np.ndarray | None) -
     for classes in bins.values():
         for config, many in classes:
             lay(config, many)
-    return out, sequences, np.divide(shared, used, out=np.zeros(capacity + 1), where=used > 0)
+    return out, sequences, rest
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
