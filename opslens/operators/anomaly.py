@@ -28,7 +28,10 @@ ANOMALY_COLS = ["metric", "ts", "id", "value", "expected_value", "deviation",
 
 
 def ordered_points(points: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """Attach the per-metric ordinal (ts, id order) without a per-metric shuffle."""
+    """Attach the per-metric ordinal (ts, id order) without a per-metric shuffle. Points that
+    carry an ordinal keep it."""
+    if ORD in points.columns:
+        return points
     bucket = F.floor(epoch_seconds("ts") / bucket_seconds)
     return with_ordinal(points, ["metric"], ["ts", "id"], bucket)
 
@@ -38,9 +41,10 @@ def _severity(dev, threshold: float):
 
 
 def rolling_moments(points: DataFrame, history: int = HISTORY, chunk_rows: int = 16384,
-                    bucket_seconds: int = 3600) -> DataFrame:
+                    bucket_seconds: int = 3600, extra: tuple[str, ...] = ()) -> DataFrame:
     """Per point: n, mean and sample std of the last ``history`` values
-    (current included), plus ``flat`` when all of them are equal.
+    (current included), plus ``flat`` when all of them are equal, and the
+    columns ``extra`` as given.
 
     O(1) work per row: running sums inside halo chunks and fixed-offset lags
     give window sums as differences of prefix sums (values are centred on the
@@ -64,7 +68,7 @@ def rolling_moments(points: DataFrame, history: int = HISTORY, chunk_rows: int =
          .where(~F.col(HALO)))
     var = F.greatest((F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1), F.lit(0.0))
     ref_value = F.col("value") - F.col("_y")
-    return c.select("metric", "ts", "id", "value", ORD, F.col("_n").alias("n"),
+    return c.select("metric", "ts", "id", "value", *extra, ORD, F.col("_n").alias("n"),
                     (ref_value + F.col("_s1") / F.col("_n")).alias("mean"),
                     F.when(F.col("_n") > 1, F.sqrt(var)).alias("std"),
                     (F.col("_changes") == 0).alias("flat"))
@@ -76,12 +80,16 @@ def rolling_sigma(points: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     """Flag points more than ``threshold`` sample std from the mean of the last
     ``history`` points (current point included). No verdict before
     ``min_points`` points or when the std is 0 (all values equal)."""
-    m = rolling_moments(points, history, chunk_rows, bucket_seconds)
+    return sigma_verdicts(rolling_moments(points, history, chunk_rows, bucket_seconds), threshold, min_points)
+
+
+def sigma_verdicts(m: DataFrame, threshold: float, min_points: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The anomalies among rows of ``rolling_moments``."""
     dev = F.abs(F.col("value") - F.col("mean")) / F.col("std")
     s = (m.where((F.col(ORD) + 1 >= min_points) & ~F.col("flat") & (F.col("std") > 0))
          .withColumn("deviation", dev).where(F.col("deviation") > threshold))
     return s.select(
-        "metric", "ts", "id", "value", F.col("mean").alias("expected_value"), "deviation",
+        "metric", "ts", "id", "value", *extra, F.col("mean").alias("expected_value"), "deviation",
         _severity(F.col("deviation"), threshold).alias("severity"),
         F.format_string("Value %.2f is %.1f std from mean %.2f", F.col("value"),
                         F.col("deviation"), F.col("mean")).alias("description"))
@@ -122,11 +130,15 @@ def ewma(points: DataFrame, alpha: float = DEFAULT_ALPHA, threshold: float = DEF
 
     With the default alpha 0.3 the ratio is bounded by 1/sqrt(a(1-a)) = 2.18,
     so threshold 3 never fires; that is the reference behaviour, kept."""
-    s = ewma_states(points, alpha, min_points, bucket_seconds)
+    return ewma_verdicts(ewma_states(points, alpha, min_points, bucket_seconds), threshold)
+
+
+def ewma_verdicts(s: DataFrame, threshold: float, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The anomalies among rows of ``ewma_states``."""
     dev = F.abs(F.col("d")) / F.sqrt(F.col("v"))
     s = s.where(F.col("v") > 0).withColumn("deviation", dev).where(F.col("deviation") > threshold)
     return s.select(
-        "metric", "ts", "id", "value", F.col("e").alias("expected_value"), "deviation",
+        "metric", "ts", "id", "value", *extra, F.col("e").alias("expected_value"), "deviation",
         _severity(F.col("deviation"), threshold).alias("severity"),
         F.format_string("EWMA deviation: %.1f std", F.col("deviation")).alias("description"))
 

@@ -123,12 +123,13 @@ SELECT metric, id, 'slack' AS channel,
 FROM s""")
 def stream_alert_payloads(spark, sf_dir):
     """Alert stream: streaming anomalies -> slack payload rows (delivery not built)."""
-    d = sm.detect_stream(_points(spark, sf_dir)).select(
-        "metric", "id", "severity", F.array(F.lit("slack")).alias("channels"),
-        F.concat("metric", F.lit(" anomaly")).alias("title"), F.col("description").alias("message"),
-        F.lit("aiops-agent").alias("source"))
-    routed = rk.payloads(rk.route(d))
-    out = sm.run_until_caught_up(routed.select("metric", "id", "channel", "payload"), "alerts")
+    def routed(d):
+        d = d.select("metric", "id", "severity", F.array(F.lit("slack")).alias("channels"),
+                     F.concat("metric", F.lit(" anomaly")).alias("title"), F.col("description").alias("message"),
+                     F.lit("aiops-agent").alias("source"))
+        return rk.payloads(rk.route(d)).select("metric", "id", "channel", "payload")
+
+    out = sm.run_until_caught_up(sm.detect_stream(_points(spark, sf_dir)).transform(routed), "alerts")
     return out
 
 

@@ -1,7 +1,8 @@
 """Structured Streaming twins of the batch operators.
 
-* ``detect_stream``: per-metric stateful detector (rolling sigma or EWMA)
-  with the alert cooldown, via ``applyInPandasWithState``. State per metric
+* ``detect_stream``: per-metric detector (rolling sigma or EWMA) with the
+  alert cooldown, by the batch operators over each micro-batch and a small
+  table carried from the one before (``foreachBatch``). State per metric
   is bounded: the last ``history`` values, the EWMA pair and the time of the
   last emitted alert. A row whose ``control`` column is 'clear' drops the
   metric's state at that point of the stream (rows after it start afresh).
@@ -23,17 +24,14 @@ micro-batch and drops none.
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opslens.operators import anomaly as an
+from opslens.operators.ordered import ORD, join_null_safe, linear_scan, with_ordinal
 from opslens.session import ensure_checkpoint_dir
 from opslens.tables import table
 
@@ -60,7 +58,7 @@ def _scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/streams/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def run_until_caught_up(df: DataFrame, tag: str, output_mode: str = "append",
+def run_until_caught_up(df: "DataFrame | DetectStream", tag: str, output_mode: str = "append",
                         keys: list[str] | None = None, order: str = "_batch") -> DataFrame:
     """Run ``df`` with trigger(availableNow) into parquet under the shared
     checkpoint folder; return the written rows as a batch DataFrame.
@@ -68,9 +66,16 @@ def run_until_caught_up(df: DataFrame, tag: str, output_mode: str = "append",
     append: rows as written. update: each micro-batch appends its updated
     rows tagged with the batch id and the result keeps, per ``keys``, the row
     of the latest batch (an upsert without a table format)."""
-    spark = df.sparkSession
+    spark = df.points.sparkSession if isinstance(df, DetectStream) else df.sparkSession
     root = _scratch(spark, tag)
     out, ck = f"{root}/out", f"{root}/checkpoint"
+    if isinstance(df, DetectStream):
+        def write(found: DataFrame, batch_id: int) -> None:
+            found.write.mode("overwrite").parquet(f"{out}/batch-{batch_id}")
+        df.start(write, ck, f"{root}/state", availableNow=True).awaitTermination()
+        none = df.finish(spark.createDataFrame([], OUT_SCHEMA))
+        return spark.read.schema(none.schema).option("recursiveFileLookup", "true").parquet(out) \
+            if _exists(spark, out) else none
     if output_mode == "append":
         q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
              .outputMode("append").trigger(availableNow=True).start())
@@ -111,105 +116,154 @@ def _result_schema(df: DataFrame, mode: str):
 
 OUT_SCHEMA = ("metric string, ts timestamp_ntz, id long, value double, expected_value double, "
               "deviation double, severity string, description string")
-STATE_SCHEMA = "hist array<double>, e double, v double, n long, last_alert double"
-
-
-def _detector(method: str, threshold: float, alpha: float, history: int, min_points: int,
-              cooldown: float | None) -> Callable:
-    def fmt(x: float, d: int) -> str:
-        return f"{x:.{d}f}"
-
-    def candidates(hist, e, v, n, xs):
-        """Anomaly candidates among the new values xs (in order) and the new state."""
-        out = []
-        if method == "ewma":
-            for j, x in enumerate(xs):
-                if e is None:
-                    e = x
-                n += 1
-                if min(n, history) < min_points:
-                    continue
-                e = alpha * x + (1 - alpha) * e
-                d = x - e
-                v = (1 - alpha) * (v + alpha * d * d)
-                sd = math.sqrt(v)
-                if sd > 0 and abs(d) / sd > threshold:
-                    dev = abs(d) / sd
-                    out.append((j, e, dev, f"EWMA deviation: {fmt(dev, 1)} std"))
-            hist = (hist + xs)[-history:]
-            return out, hist, e, v, n
-        allv = pd.Series(hist + xs, dtype="float64")
-        r = allv.rolling(history, min_periods=1)
-        mean, sd = r.mean().to_numpy(), r.std(ddof=1).to_numpy()
-        flat = (r.max() == r.min()).to_numpy()
-        base = len(hist)
-        for j, x in enumerate(xs):
-            k = base + j
-            if e is None:
-                e = x
-            if min(n + j + 1, history) < min_points or flat[k] or not sd[k] > 0:
-                continue
-            dev = abs(x - mean[k]) / sd[k]
-            if dev > threshold:
-                m = float(mean[k])
-                out.append((j, m, float(dev), f"Value {fmt(x, 2)} is {fmt(float(dev), 1)} std from mean {fmt(m, 2)}"))
-        return out, allv.to_numpy()[-history:].tolist(), e, v, n + len(xs)
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        metric = key[0]
-        if state.exists:
-            hist, e, v, n, last = state.get
-            hist = [float(h) for h in hist]
-            e = None if e is None or math.isnan(e) else float(e)
-            last = None if last is None or math.isnan(last) else float(last)
+TAIL_SCHEMA = f"metric string, ts timestamp_ntz, id long, value double, {ORD} long"
+PAIR_SCHEMA = "metric string, n long, e double, v double, last_alert double"
+
+
+def _key(part: Column) -> Column:
+    """A metric and its part (clear rows seen so far) as one text that is never null."""
+    return F.concat(part.cast("string"), F.lit(":"), F.coalesce(F.concat(F.lit("="), "metric"), F.lit("")))
+
+
+def _metric_of(key: str) -> Column:
+    rest = F.expr(f"substring({key}, instr({key}, ':') + 1)")
+    return F.when(rest != "", F.substring(rest, 2, 2 ** 31 - 1))
+
+
+class DetectStream:
+    """A stream of points and the detector that runs over each of its micro-batches.
+
+    A micro-batch is handled by the batch operators, so a metric is spread over many tasks. Its
+    rows go on from a small table carried in ``state`` (a shared folder): per metric the last
+    ``history`` rows, the EWMA pair, the count of rows and the last alert's time. A micro-batch
+    that runs again reads the state of the one before it and writes its own anew; older states are deleted."""
+
+    def __init__(self, points: DataFrame, method: str, threshold: float, alpha: float, history: int,
+                 min_points: int, cooldown: float | None, then: tuple[Callable, ...] = ()):
+        self.points, self.method, self.threshold, self.alpha = points, method, threshold, alpha
+        self.history, self.min_points, self.cooldown, self.then = history, min_points, cooldown, then
+
+    def transform(self, fn: Callable[[DataFrame], DataFrame]) -> "DetectStream":
+        """``fn`` is applied to the anomalies of every micro-batch."""
+        return DetectStream(self.points, self.method, self.threshold, self.alpha, self.history, self.min_points,
+                            self.cooldown, (*self.then, fn))
+
+    def finish(self, found: DataFrame) -> DataFrame:
+        for fn in self.then:
+            found = fn(found)
+        return found
+
+    def start(self, sink: Callable[[DataFrame, int], None], checkpoint: str, state: str, **trigger) -> "StreamingQuery":  # noqa: F821
+        def each(batch: DataFrame, batch_id: int) -> None:
+            sink(self.finish(self.step(batch, batch_id, state)), batch_id)
+        return (self.points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+                .trigger(**trigger).start())
+
+    def step(self, batch: DataFrame, batch_id: int, state: str) -> DataFrame:
+        spark = self.points.sparkSession
+        own, before = f"{state}/batch-{batch_id}", f"{state}/batch-{batch_id - 1}"
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{own}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{own}/{name}")
+
+        def carried(name: str, schema: str) -> DataFrame:
+            there = _exists(spark, f"{before}/{name}")
+            return spark.read.schema(schema).parquet(f"{before}/{name}") if there else spark.createDataFrame([], schema)
+
+        control = "control" in batch.columns
+        batch.select("metric", "ts", "id", F.col("value").cast("double").alias("value"),
+                     *(["control"] if control else [])).write.mode("overwrite").parquet(f"{own}/given")
+        rows = spark.read.parquet(f"{own}/given")
+        parts = F.lit(0).cast("long")
+        if control:   # clear rows cut a metric into parts
+            flag = F.when(F.col("control") == "clear", 1.0).otherwise(0.0)
+            bucket = F.floor(an.epoch_seconds("ts") / 3600)
+            cut = with_ordinal(rows.withColumn("_clear", flag), ["metric"], ["ts", "id"], bucket, out="_at")
+            cut = linear_scan(cut, ["metric"], "_at", "_clear", 1.0, "_parts")
+            rows = keep(cut.select("metric", "ts", "id", "value", "_clear", F.round("_parts").cast("long").alias("_part")), "cut")
+            last_part = rows.groupBy("metric").agg(F.max("_part").alias("_last"))
+            rows, parts = rows.where("_clear = 0"), F.col("_part")
+        pair = carried("pair", PAIR_SCHEMA).withColumn("metric", _key(F.lit(0)))
+        tail = carried("tail", TAIL_SCHEMA).withColumn("metric", _key(F.lit(0)))
+        rows = an.ordered_points(rows.select(_key(parts).alias("metric"), "ts", "id", "value"))
+        rows = rows.join(pair, "metric", "left").withColumn(ORD, F.col(ORD) + F.coalesce("n", F.lit(0)))
+        rows = keep(rows, "rows")
+        every = rows.select("metric", "ts", "id", "value", ORD, F.lit(True).alias("_new")).unionByName(
+            tail.withColumn("_new", F.lit(False)))
+        if self.method == "ewma":
+            states = keep(self._ewma_states(rows), "ewma")
+            found = an.ewma_verdicts(states, self.threshold, (ORD,))
         else:
-            hist, e, v, n, last = [], None, 0.0, 0, None
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "id"], kind="stable")
-        ctl = (pdf["control"].fillna("") == "clear").to_numpy() if "control" in pdf.columns else \
-            np.zeros(len(pdf), dtype=bool)
-        rows = []
-        start = 0
-        for stop in [*np.flatnonzero(ctl).tolist(), len(pdf)]:
-            seg = pdf.iloc[start:stop]
-            xs = [float(x) for x in seg["value"].tolist()]
-            ts = seg["ts"].tolist()
-            ids = [int(i) for i in seg["id"].tolist()]
-            cand, hist, e, v, n = candidates(hist, e, float(v or 0.0), int(n), xs)
-            for j, exp, dev, text in cand:
-                t = pd.Timestamp(ts[j]).value / 1e9
-                if cooldown is not None and last is not None and not (t > last + cooldown):
-                    continue
-                last = t
-                rows.append((metric, ts[j], ids[j], xs[j], float(exp), float(dev),
-                             "critical" if dev > threshold * 2 else "warning", text))
-            if stop < len(pdf):                 # a clear row: forget this metric
-                hist, e, v, n, last = [], None, 0.0, 0, None
-            start = stop + 1
-        state.update(([float(h) for h in hist], None if e is None else float(e), float(v), int(n),
-                      float("nan") if last is None else float(last)))
-        yield pd.DataFrame(rows, columns=["metric", "ts", "id", "value", "expected_value", "deviation",
-                                          "severity", "description"])
-
-    return step
+            states = None
+            moments = an.rolling_moments(every, self.history, extra=("_new",)).where("_new")
+            found = an.sigma_verdicts(moments, self.threshold, self.min_points, (ORD,))
+        if self.history < self.min_points:    # never enough points for a verdict
+            found = found.limit(0)
+        found = keep(found, "anomalies")
+        if self.cooldown is not None:
+            # what the last alert still holds back, then the fold over the rest; a row's ordinal is its id there
+            seconds = an.epoch_seconds("ts")
+            due = (found.join(pair.select("metric", "last_alert"), "metric", "left")
+                   .where(F.col("last_alert").isNull() | (seconds > F.col("last_alert") + F.lit(float(self.cooldown))))
+                   .drop("last_alert").withColumn("_id", F.col("id")).withColumn("id", F.col(ORD)))
+            found = keep(an.cooldown(due, self.cooldown).withColumn("id", F.col("_id")).drop("_id"), "alerts")
+        # the state after this micro-batch: rows of each metric's last part
+        live = every.withColumn("_m", _metric_of("metric"))
+        if control:
+            ends = last_part.select(_key(F.col("_last")).alias("_end"), F.col("metric").alias("_m"))
+            live = join_null_safe(live, ends, ["_m"], "left").where(F.col("_end").isNull() | (F.col("_end") == F.col("metric")))
+        newest = Window.partitionBy("metric").orderBy(F.col(ORD).desc())
+        live = keep(live.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= max(self.history, 1))
+                    .select("metric", "_m", "ts", "id", "value", ORD), "live")
+        after = live.groupBy("metric", "_m").agg((F.max(ORD) + 1).alias("n"))
+        alerts = found.groupBy("metric").agg(F.max(an.epoch_seconds("ts")).alias("_alert"))
+        after = after.join(alerts, "metric", "left").join(pair.drop("n"), "metric", "left")
+        e, v = F.col("e"), F.col("v")
+        if states is not None:
+            latest = states.groupBy("metric").agg(F.max_by("e", ORD).alias("_e"), F.max_by("v", ORD).alias("_v"))
+            first = rows.groupBy("metric").agg(F.min_by("value", ORD).alias("_x0"))
+            after = after.join(latest, "metric", "left").join(first, "metric", "left")
+            e, v = F.coalesce("_e", "e", "_x0"), F.coalesce("_v", "v", F.lit(0.0))
+        keep(after.select(F.col("_m").alias("metric"), "n", e.alias("e"), v.alias("v"),
+                          F.greatest("_alert", "last_alert").alias("last_alert")), "pair")
+        keep(live.select(F.col("_m").alias("metric"), "ts", "id", "value", ORD), "tail")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch-{batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return found.withColumn("metric", _metric_of("metric")).drop(ORD)
+
+    def _ewma_states(self, rows: DataFrame) -> DataFrame:
+        """Per new row from point ``min_points`` on, e and v as they go on from the carried pair."""
+        alpha, a = self.alpha, 1.0 - self.alpha
+        first = rows.groupBy("metric").agg(F.min_by("value", ORD).alias("_x0"))
+        starts = F.col(ORD) == F.greatest(F.coalesce("n", F.lit(0)), F.lit(self.min_points - 1))
+        r = (rows.join(first, "metric").where(F.col(ORD) >= self.min_points - 1)
+             .select("metric", "ts", "id", "value", ORD, starts.alias("_starts"),
+                     F.coalesce("e", "_x0").alias("_e0"), F.coalesce("v", F.lit(0.0)).alias("_v0")))
+        carry = F.when(F.col("_starts"), a * F.col("_e0")).otherwise(0.0)
+        r = linear_scan(r.withColumn("_b", alpha * F.col("value") + carry), ["metric"], ORD, "_b", a, "e")
+        r = r.withColumn("d", F.col("value") - F.col("e"))
+        carry = F.when(F.col("_starts"), a * F.col("_v0")).otherwise(0.0)
+        r = r.withColumn("_b2", a * alpha * F.col("d") * F.col("d") + carry)
+        return linear_scan(r, ["metric"], ORD, "_b2", a, "v").select("metric", "ts", "id", "value", ORD, "e", "d", "v")
 
 
 def detect_stream(points: DataFrame, method: str = "sigma", threshold: float = an.DEFAULT_THRESHOLD,
                   alpha: float = an.DEFAULT_ALPHA, history: int = an.HISTORY,
-                  min_points: int = an.MIN_POINTS, cooldown: float | None = None) -> DataFrame:
+                  min_points: int = an.MIN_POINTS, cooldown: float | None = None) -> DetectStream:
     """Streaming detector over (metric, ts, id, value[, control]); emits
     anomalies (after the cooldown when given) as soon as their micro-batch is
     processed. Rows are ordered by (ts, id) inside a micro-batch; across
     micro-batches arrival order is kept, as the reference does."""
-    return points.groupBy("metric").applyInPandasWithState(
-        _detector(method, threshold, alpha, history, min_points, cooldown), OUT_SCHEMA, STATE_SCHEMA,
-        "append", GroupStateTimeout.NoTimeout)
+    return DetectStream(points, method, threshold, alpha, history, min_points, cooldown)
 
 
 def start_monitor(points: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
                   trigger: str = MONITOR_TRIGGER, **detector) -> "StreamingQuery":  # noqa: F821
-    """Continuous check every ``trigger``: detector -> ``sink(batch_df, batch_id)``."""
-    return (detect_stream(points, **detector).writeStream.foreachBatch(sink)
-            .option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start())
+    """Continuous check every ``trigger``: detector -> ``sink(batch_df, batch_id)``. The
+    detector's state is beside the checkpoint."""
+    return detect_stream(points, **detector).start(sink, checkpoint, f"{checkpoint.rstrip('/')}-detector",
+                                                   processingTime=trigger)
 
 
 # ---------------- windowed aggregations (STR6, STR7, STR8, STR11) ----------------
