@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.operators.ordered import (CHUNK, HALO, ORD, epoch_seconds, halo_chunks,
-                                       linear_scan, with_ordinal)
+                                       join_null_safe, linear_scan, with_ordinal)
 
 # Fixed values of the detector (must match the reference behaviour).
 DEFAULT_THRESHOLD = 3.0
@@ -211,7 +211,7 @@ def cooldown(anomalies: DataFrame, seconds: float = COOLDOWN_SECONDS,
     seg = linear_scan(starts, ["metric"], ORD, "_start", 1.0, "_seg")
     seg = seg.withColumn("_seg", F.round("_seg").cast("long")).select("metric", "_seg", ORD, "_t", "id")
     sizes = seg.groupBy("metric", "_seg").agg(F.count(F.lit(1)).alias("_n"), F.min(ORD).alias("_o0"))
-    seg = seg.join(sizes, ["metric", "_seg"])
+    seg = join_null_safe(seg, sizes, ["metric", "_seg"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORD)
@@ -226,7 +226,8 @@ def cooldown(anomalies: DataFrame, seconds: float = COOLDOWN_SECONDS,
              .groupBy("metric", "_seg").applyInPandas(fold, _COOLDOWN_SCHEMA))
     big = seg.where(F.col("_n") > max_group)
     kept = small.unionByName(_chain_from_heads(big, seconds, bucket_seconds))
-    return anomalies.join(kept, ["metric", "id"], "left_semi")
+    kept = kept.select(F.col("metric").alias("_km"), F.col("id").alias("_ki"))
+    return anomalies.join(kept, F.col("metric").eqNullSafe(F.col("_km")) & F.col("id").eqNullSafe(F.col("_ki")), "left_semi")
 
 
 def _chain_from_heads(rows: DataFrame, seconds: float, bucket_seconds: int) -> DataFrame:
@@ -253,20 +254,20 @@ def _chain_from_heads(rows: DataFrame, seconds: float, bucket_seconds: int) -> D
     ranked = with_ordinal(both, keys, ["_x", "_k", "_i"], F.floor(F.col("_x") / bucket_seconds), out="_c")
     nxt = ranked.where(F.col("_k") == 1).select(*keys, "_i", (F.col("_c") - F.col("_i")).alias("_j"))
     n_of = r.select(*keys, "_n").distinct()
-    j = materialize(nxt.join(n_of, keys).where(F.col("_j") < F.col("_n")).select(*keys, "_i", "_j"), "cooldown-j0")
+    j = materialize(join_null_safe(nxt, n_of, keys).where(F.col("_j") < F.col("_n")).select(*keys, "_i", "_j"), "cooldown-j0")
     longest = rows.agg(F.max("_n")).first()[0]
     levels = [j]
     for _ in range(max(1, int(longest - 1).bit_length()) - 1):
         prev = levels[-1]
-        step = prev.alias("a").join(prev.alias("b"), (F.col("a.metric") == F.col("b.metric")) &
+        step = prev.alias("a").join(prev.alias("b"), F.col("a.metric").eqNullSafe(F.col("b.metric")) &
                                     (F.col("a._seg") == F.col("b._seg")) & (F.col("a._j") == F.col("b._i")))
         levels.append(materialize(step.select(F.col("a.metric").alias("metric"), F.col("a._seg").alias("_seg"),
                                               F.col("a._i").alias("_i"), F.col("b._j").alias("_j")), "cooldown-j"))
     chain = r.select(*keys).distinct().withColumn("_i", F.lit(0).cast("long"))
     for lvl in reversed(levels):
-        hop = chain.join(lvl, keys + ["_i"]).select(*keys, F.col("_j").alias("_i"))
+        hop = join_null_safe(chain, lvl, keys + ["_i"]).select(*keys, F.col("_j").alias("_i"))
         chain = materialize(chain.unionByName(hop).distinct(), "cooldown-chain")
-    return chain.join(r, keys + ["_i"]).select("metric", "id")
+    return join_null_safe(chain, r, keys + ["_i"]).select("metric", "id")
 
 
 def check_status(anomalies: DataFrame, group_cols: list[str]) -> DataFrame:
