@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, native.
 
 A k-gram is ``k`` consecutive words (split at white space); its hash is
-Spark's xxhash64 rolled over the words, cut to 31 bits. Of each window of
+Spark's xxhash64 over its words, computed anew for each, cut to 31 bits. Of each window of
 ``w`` consecutive k-grams the smallest hash is chosen, the rightmost on ties,
 and kept with its position. Texts that share ``w + k - 1`` consecutive words
 share a chosen hash: the winnowing guarantee.
