@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import (bpe_count, decontaminate, gam, license_scan, packing, simhash, token_store, toxicity, warc,
-                         winnow)
+from opslens.llm import (bpe_count, curve, decontaminate, gam, importance, license_scan, packing, simhash, spelling,
+                         token_store, toxicity, warc, winnow)
 from opslens.llm.common import documents
 
 
@@ -61,6 +61,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=1)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_license_scan, op3_token_counts, op4_winnowing, op5_token_files,
-                                   op6_decontamination, op7_toxicity, op8_simhash, op9_warc_derivatives, op10_packing)}
-ORACLES = {"op2_license_scan": license_scan.oracle(), "op6_decontamination": decontaminate.ORACLE}
+                                   op6_decontamination, op7_toxicity, op8_simhash, op9_warc_derivatives, op10_packing,
+                                   op11_importance, op12_curve_packing, op13_spelling)}
+ORACLES = {"op2_license_scan": license_scan.oracle(), "op6_decontamination": decontaminate.ORACLE,
+           "op11_importance": importance.oracle(), "op13_spelling": spelling.oracle()}
