@@ -13,7 +13,8 @@ Without labels of both kinds the score is 1 (nothing is rejected). Repeated
 rows score alike.
 """
 
-from __future__ import annotations
+from __future__ from collections import Counter
+import annotations
 
 from itertools import combinations
 from operator import eq
@@ -64,7 +65,7 @@ def features(text: str) -> list[float]:
     letters = int(count[0x41:0x5B].sum() + count[0x61:0x7B].sum()) or 1
     ends = sum(w[-1] in "#$%&*+<=>@^_|~!" for w in distinct)
     lone = words.count("|")
-    top = max(map(words.count, sorted(distinct)[:3]), default=0)
+    top = max(Counter(words).values(), default=0)
     return [float(np.log1p(len(words))), len(text) / n, len(distinct) / n, pairs / max(1, n - 1), sum(again) / n,
             float(best), count[0x41:0x5B].sum() / letters, count[0x30:0x3A].sum() / size, count[_MARK].sum() / size,
             count[0x7C] / n, count[_ODD].sum() / size, count[0x21] / n, ends / (len(distinct) or 1), lone / n,
