@@ -42,7 +42,6 @@ BEGINNINGS = (4, 5, 6)
 STEPS = 400
 STAND = 5.0          # standard errors by which a kept feature stands out
 LIFT = 5.0           # times that it is as frequent in confirmed documents as in clean ones, at least
-SKETCH = 4           # smallest hashes that copies share
 SPEED = 0.2          # of a step
 REJECT = 0.7
 MEMO_WORDS = 400_000
@@ -135,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int
 
     both = confirmed.withColumn("kind", F.lit(1)).unionByName(others.withColumn("kind", F.lit(0)))
     rows = both.select("kind", "label", hashed("text").alias("ids"))
-    # copies count once: documents of a kind that share their smallest hashes
-    rows = settle(rows.groupBy("kind", F.slice("ids", 1, SKETCH).alias("sketch"))
+    # copies count once: documents of a kind with the same features, by a hash of the whole set
+    rows = settle(rows.groupBy("kind", F.xxhash64("ids").alias("same"))
                   .agg(F.min("ids").alias("ids"), F.avg("label").alias("toxic")), "features")
     sizes = {r["kind"]: r for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("toxic")).collect()}
     n, m = (sizes[k]["n"] if k in sizes else 0 for k in (1, 0))
