@@ -115,11 +115,14 @@ def parse_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
 
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
+# The rest of a tag: a quoted attribute value can hold a ">".
+_REST = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+>"""
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|blockquote|pre|title)"
-                    r"|br|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_LINK = re.compile(r"<(a|link|img|script|iframe|source)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
-                   re.I)
+                    r"|br|hr)\b" + _REST, re.I)
+_TAG = re.compile(r"<[/!?a-zA-Z]" + _REST)
+_CODE = re.compile(r"<!--.*?-->|(<(script|style)\b" + _REST + r").*?(</\2\s*>)", re.S | re.I)
+_LINK = re.compile(r"<(a|link|img|script|iframe|source)\b(" + _REST + ")", re.I)
+_VALUE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 
 
@@ -130,13 +133,18 @@ def plain_text(page: str) -> str:
 
 
 def links_of(page: str, base: str | None) -> list[dict[str, str]]:
+    """Links of a whole page: all but what stands in comments and inside scripts and styles."""
     out = []
-    for tag, name, *value in _LINK.findall(page):
-        url = html.unescape(next((v for v in value if v), ""))
+    for tag, rest in _LINK.findall(_CODE.sub(lambda m: (m[1] or " ") + (m[3] or ""), page)):
+        found = next(((name.lower(), *value) for name, *value in _VALUE.findall(rest) if name.lower() in ("href", "src")), None)
+        if found is None:
+            continue
+        url = html.unescape(next((v for v in found[1:] if v), ""))
+        path = f"{tag.lower()}@/{found[0]}"
         try:
-            out.append({"path": f"{tag.lower()}@/{name.lower()}", "url": urljoin(base or "", url)})
+            out.append({"path": path, "url": urljoin(base or "", url)})
         except ValueError:  # a malformed host stays as written
-            out.append({"path": f"{tag.lower()}@/{name.lower()}", "url": url})
+            out.append({"path": path, "url": url})
     return out
 
 
@@ -156,7 +164,7 @@ def derive_one(raw: bytes) -> list[dict]:
         page = payload.decode("utf-8", "replace")
     uri, rid = source.get("WARC-Target-URI"), source["WARC-Record-ID"]
     title = _TITLE.search(page)
-    found = links_of(_DROP.sub(" ", page), uri)
+    found = links_of(page, uri)
     envelope = {"Envelope": {"WARC-Header-Metadata": source, "Payload-Metadata": {"HTTP-Response-Metadata": {
         "Status": status, "Headers": headers, "HTML-Metadata": {
             "Title": " ".join(html.unescape(title[1]).split()) if title else None, "Links": found}}}}}
