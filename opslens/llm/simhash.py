@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from opslens.llm.common import id_text, settle, shuffle_width
+from opslens.llm.common import fresh_name, id_text, settle, shuffle_width
 
 SHINGLE = 4
 RADIUS = 4
@@ -66,11 +66,16 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
+    return id_text(docs, id_col, text_col).select("doc_id", bits(F.col("text"), shingle, seed).alias("fp"))
+
+
+def bits(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
+    """The fingerprint of a text that is not null, as a long."""
     @F.pandas_udf("long")
-    def bits(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
 
-    return id_text(docs, id_col, text_col).select("doc_id", bits("text").alias("fp"))
+    return of(text)
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -231,5 +236,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One row of each near-duplicate group, columns as given: the one with the smallest id (null last), of
+    such rows the one whose text has the smallest SHA-256, of equal rows any one.
+
+    Rows are told apart by a number that is written with them, not by their id, which they may share or lack."""
+    row, fp = fresh_name(docs, "row"), fresh_name(docs, "fp")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = settle(docs.withColumns({row: F.monotonically_increasing_id(), fp: bits(text, shingle, seed)}), "fingerprinted")
+    rank = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"),
+                    F.sha2(text.cast("binary"), 256).alias("digest"), F.col(row).alias("row"))
+    best = settle(held.groupBy(F.col(fp).alias("node")).agg(F.min(rank).alias("best")), "best")
+    labels = components(links(best.select(F.col("node").alias("fp")), radius))
+    kept = (best.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class"))
+            .agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)))
+    return held.join(kept, row, "left_semi").select(docs.columns)
+
+
 def hex16(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
