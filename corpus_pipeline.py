@@ -8,7 +8,6 @@ return the columns of ``documents``; the last returns the packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from opslens.llm import decontaminate, gam, packing, simhash, toxicity
 from opslens.llm.common import documents, settle
@@ -26,12 +25,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Of repeated
-    rows of that id one stays; documents without an id stay as they are."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    """One document of each near-duplicate group: the one with the smallest id (null last), of rows with
+    that id one. Rows without an id and rows that share one are told apart by a number of their own."""
+    return simhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
