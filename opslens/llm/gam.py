@@ -13,9 +13,9 @@ Without labels of both kinds the score is 1 (nothing is rejected). Repeated
 rows score alike.
 """
 
-from __future__ from collections import Counter
-import annotations
+from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 from operator import eq
 from typing import NamedTuple
