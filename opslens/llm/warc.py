@@ -126,8 +126,16 @@ _VALUE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 
 
+def _closed(page: str) -> tuple[str, str]:
+    """The page up to its last ">", and the rest, in which no tag ends (so it isn't searched for one)."""
+    end = page.rfind(">") + 1
+    return page[:end], page[end:]
+
+
 def plain_text(page: str) -> str:
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page))))
+    head, tail = _closed(page)
+    head, rest = _closed(_DROP.sub(" ", head))
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", head)) + rest + tail)
     lines = (" ".join(line.split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -135,7 +143,8 @@ def plain_text(page: str) -> str:
 def links_of(page: str, base: str | None) -> list[dict[str, str]]:
     """Links of a whole page: all but what stands in comments and inside scripts and styles."""
     out = []
-    for tag, rest in _LINK.findall(_CODE.sub(lambda m: (m[1] or " ") + (m[3] or ""), page)):
+    page = _closed(_CODE.sub(lambda m: (m[1] or " ") + (m[3] or ""), _closed(page)[0]))[0]
+    for tag, rest in _LINK.findall(page):
         found = next(((name.lower(), *value) for name, *value in _VALUE.findall(rest) if name.lower() in ("href", "src")), None)
         if found is None:
             continue
