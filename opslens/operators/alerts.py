@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.operators.ordered import CHUNK, HALO, ORD, halo_chunks, join_null_safe, with_ordinal
+from opslens.operators.ordered import CHUNK, HALO, ORD, halo_chunks, join_null_safe, linear_scan, with_ordinal
+from opslens.session import materialize
 
 # Alert templates (key, metric, threshold text, duration,
 # severity, description) as the reference defines them.
@@ -51,40 +52,70 @@ def rules_text(rules: DataFrame) -> DataFrame:
         "name", "expr", "for", "severity", "team", "description", "runbook").alias("yaml"))
 
 
+def _ladders(rules: DataFrame) -> DataFrame:
+    """(key, steps): each key's rules in ascending order of threshold. Rules without a threshold never fire."""
+    step = F.struct("threshold", "name", "severity")
+    return (rules.where(F.col("threshold").isNotNull()).groupBy(F.col("key").alias("_key"))
+            .agg(F.sort_array(F.collect_list(step)).alias("steps")))
+
+
+def _climbed(points: DataFrame, rules: DataFrame, most: int) -> DataFrame:
+    """Points with their key's ladder ``steps`` and ``rungs``, how many of its thresholds lie below the
+    value, found by one binary search; points below all are left out."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get("steps", at + step - 1)["threshold"] < F.col("value"), at + step).otherwise(at))
+    ladders = _ladders(rules)
+    j = points.join(ladders, points["key"] == ladders["_key"]).drop("_key")
+    return j.where(F.col("value") > F.get("steps", F.lit(0))["threshold"]).withColumn("rungs", found)
+
+
+MAX_RULES = 1 << 20   # rules of one key that a binary search of 20 steps reaches
+
+
 def evaluate_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
-    """Equi join on metric key plus the theta condition value > threshold;
-    returns breaching points (AQE broadcasts the rules if they are small at run time)."""
-    return points.join(rules.select("key", "name", "threshold", "severity"),
-                       (points["key"] == rules["key"]) & (points["value"] > rules["threshold"])
-                       ).drop(rules["key"])
-
-
-def time_halo_chunks(df: DataFrame, micros: str, bucket_seconds: int,
-                     halo_seconds: int) -> DataFrame:
-    """Cut by event time into buckets and copy rows from the last
-    ``halo_seconds`` of each bucket into the next one, so a RANGE frame of
-    ``halo_seconds`` preceding is complete inside each (key, bucket)."""
-    if halo_seconds > bucket_seconds:
-        raise ValueError("halo must not exceed bucket")
-    b_us = bucket_seconds * 1_000_000
-    c = F.floor(F.col(micros) / b_us)
-    base = df.withColumn(CHUNK, c).withColumn(HALO, F.lit(False))
-    tail = (df.where(F.col(micros) >= (F.floor(F.col(micros) / b_us) + 1) * b_us
-                     - halo_seconds * 1_000_000)
-            .withColumn(CHUNK, c + 1).withColumn(HALO, F.lit(True)))
-    return base.unionByName(tail)
+    """Breaching points (value > threshold) with name, threshold and severity of each rule they
+    breach. A point meets its key's rules once, sorted by threshold, and those it breaches are the
+    first ones: no pair that doesn't breach is made."""
+    j = _climbed(points, rules, MAX_RULES)
+    hit = F.explode(F.slice("steps", F.lit(1), F.col("rungs"))).alias("_rule")
+    return j.select(*points.columns, hit).select(*points.columns, "_rule.name", "_rule.threshold", "_rule.severity")
+
+
+def breach_summary(points: DataFrame, rules: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
+    """(key, name, breaches, first_ts, last_ts, max_value) of each rule that any point of its key breaches.
+
+    No (point, rule) pair is made: points are counted by the highest threshold they exceed, and a
+    rule's breaches are the counts of its own and all higher rungs of its key, a running sum."""
+    p = points.select("key", F.col(ts).alias("ts"), F.col(value).alias("value"))
+    tops = _climbed(p, rules, MAX_RULES).groupBy("key", F.col("rungs").alias("rung")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.max("value").alias("m"))
+    rungs = _ladders(rules).select(F.col("_key").alias("key"), F.posexplode("steps").alias("at", "step"))
+    rungs = rungs.select("key", (F.col("at") + 1).alias("rung"), "step.name")
+    higher = Window.partitionBy("key").orderBy(F.col("rung").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rungs.join(tops, ["key", "rung"], "left").select(
+        "key", "name", F.sum("n").over(higher).alias("breaches"), F.min("a").over(higher).alias("first_ts"),
+        F.max("z").over(higher).alias("last_ts"), F.max("m").over(higher).alias("max_value")).where(F.col("breaches") > 0)
 
 
 def counter_rates(samples: DataFrame, keys: Sequence[str], window_seconds: int = 300,
-                  bucket_seconds: int = 3600) -> DataFrame:
+                  like: DataFrame | None = None) -> DataFrame:
     """samples(keys..., ts, id, counter) -> rate over [t-window, t] and irate.
 
     delta = v - prev, or v after a reset (v < prev). The window increase sums
     the deltas of in-window samples except the first one (no extrapolation).
-    irate uses the last two samples."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    s = samples.withColumn("_us", us)
-    o = with_ordinal(s, list(keys), ["ts", "id"], F.floor(F.col("_us") / (bucket_seconds * 1e6)))
+    irate uses the last two samples; it is null if they share a timestamp.
+
+    Samples are taken in the order (ts, id, counter); those of one timestamp are in the same windows.
+    The window's ends are ordinals: each sample asks for the first one not older than the window, and
+    questions and samples are numbered together, so one hot key or hour is cut like any other rows.
+    The increase is the difference of two running sums. Samples without a time or counter are left out.
+    Samples that carry an ordinal keep it; ``like`` is a plain table whose times are spread alike (see
+    ``with_ordinal``)."""
+    keys, like = list(keys), samples if like is None else like
+    s = (samples.where(F.col("ts").isNotNull() & F.col("counter").isNotNull())
+         .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))))
+    o = s if ORD in s.columns else with_ordinal(s, keys, ["ts", "id", "counter"], like=like)
     ch = halo_chunks(o, halo=1, chunk_rows=65536)
     w = Window.partitionBy(*keys, CHUNK).orderBy(ORD)
     d = (ch.withColumn("_pv", F.lag("counter").over(w)).withColumn("_pus", F.lag("_us").over(w))
@@ -92,16 +123,20 @@ def counter_rates(samples: DataFrame, keys: Sequence[str], window_seconds: int =
     delta = (F.when(F.col("_pv").isNull(), F.lit(0.0))
              .when(F.col("counter") < F.col("_pv"), F.col("counter").cast("double"))
              .otherwise((F.col("counter") - F.col("_pv")).cast("double")))
-    d = d.withColumn("_delta", delta)
-    th = time_halo_chunks(d, "_us", bucket_seconds, window_seconds)
-    wr = Window.partitionBy(*keys, CHUNK).orderBy("_us").rangeBetween(
-        -window_seconds * 1_000_000, 0)
-    r = (th.withColumn("_inc", F.sum("_delta").over(wr) - F.first("_delta").over(wr))
-         .where(~F.col(HALO)))
-    irate = F.when(F.col("_pv").isNull(), F.lit(None).cast("double")).otherwise(
-        F.col("_delta") / ((F.col("_us") - F.col("_pus")) / F.lit(1e6)))
+    d = materialize(linear_scan(d.withColumn("_delta", delta), keys, ORD, "_delta", 1.0, "_sum"), "counter-sums")
+    both = (d.select(*keys, F.col("_us").alias("_x"), F.lit(1).alias("_k"), F.col(ORD).alias("_i"))
+            .unionByName(d.select(*keys, (F.col("_us") - window_seconds * 1_000_000).alias("_x"),
+                                  F.lit(0).alias("_k"), F.col(ORD).alias("_i"))))
+    # before a question stand the samples older than the window, and as many questions as samples before its own
+    times = like.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("_x"))
+    asked = with_ordinal(both, keys, ["_x", "_k", "_i"], out="_c", like=times).where(F.col("_k") == 0).select(
+        *keys, F.col("_i").alias(ORD), (F.col("_c") - F.col("_i")).alias("_first"))
+    first = d.select(*keys, F.col(ORD).alias("_first"), F.col("_sum").alias("_from"))
+    last = d.groupBy(*keys, "_us").agg(F.max_by("_sum", ORD).alias("_to"))
+    r = join_null_safe(join_null_safe(join_null_safe(d, asked, [*keys, ORD]), first, [*keys, "_first"]), last, [*keys, "_us"])
+    irate = F.when(F.col("_pv").isNotNull(), F.try_divide(F.col("_delta"), (F.col("_us") - F.col("_pus")) / F.lit(1e6)))
     return r.select(*keys, "ts", "id", "counter",
-                    (F.col("_inc") / window_seconds).alias("rate"), irate.alias("irate"))
+                    ((F.col("_to") - F.col("_from")) / window_seconds).alias("rate"), irate.alias("irate"))
 
 
 def bucket_start(ts: str | Column, seconds: int) -> Column:
@@ -200,10 +235,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return out
 
 
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = 400) -> DataFrame:
+    """keys..., n, sketch: a KLL sketch of the values of each group (say metric and period), a few kB each;
+    to be written once and merged for any range of groups. Null and NaN values are not counted."""
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                              F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: Sequence[str], probs: Sequence[float], k: int = 400) -> DataFrame:
+    """keys..., n, p<percent>...: quantiles of the merged sketches of each group, no raw value read."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("_s"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(f"p{round(p * 100):d}")
+                                       for p in probs])
+
+
 def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
     """buckets(keys..., le DOUBLE (inf for +Inf), cnt non-cumulative) ->
     quantile with linear interpolation inside the bucket that holds rank q*total;
-    the +Inf bucket answers with the largest finite bound."""
+    the +Inf bucket answers with the largest finite bound. Keys without any count have no
+    quantile (null)."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("le")
     b = (buckets.withColumn("cum", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -220,5 +271,5 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float) -> Dat
     val = (F.when(h["le"] == float("inf"), h["prev_finite"])
            .when(h["prev_le"].isNull() & (h["le"] <= 0), h["le"])
            .otherwise(start + (h["le"] - start) *
-                      ((F.lit(q) * h["total"] - h["prev_cum"]) / (h["cum"] - h["prev_cum"]))))
-    return hit.select(*keys, val.alias("quantile"))
+                      F.try_divide(F.lit(q) * h["total"] - h["prev_cum"], h["cum"] - h["prev_cum"])))
+    return hit.select(*keys, F.when(h["total"] > 0, val).alias("quantile"))

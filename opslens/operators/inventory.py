@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslens.sinks.rowfiles import list_files
+
 # Language -> file patterns (declaration order breaks ties).
 LANGUAGE_PATTERNS = [
     ("python", ["*.py", "requirements*.txt", "setup.py", "pyproject.toml"]),
@@ -139,6 +141,5 @@ def package_deps(files: DataFrame, cap: int = DEP_CAP) -> DataFrame:
 
 
 def file_inventory(spark, path: str) -> DataFrame:
-    """Listing without content (binaryFile reads bytes only when selected)."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select("path", "length", "modificationTime"))
+    """path (below the folder), length, modificationTime of every file, empty ones included; no content is read."""
+    return list_files(spark, path).withColumnRenamed("modified", "modificationTime")

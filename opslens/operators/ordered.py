@@ -6,9 +6,10 @@ is the whole job. The helpers here keep ordered semantics exact while the
 work stays spread over many tasks:
 
 * ``with_ordinal`` numbers rows 0..n-1 inside each key. Rows are first cut
-  into coarse order buckets (e.g. one hour of event time); a small
-  per-(key, bucket) count table gives each bucket its starting offset, and
-  ``row_number`` only runs inside (key, bucket) partitions.
+  into order buckets of about equally many rows (quantiles of the order
+  columns, so a burst in one hour or at one instant is cut like anything
+  else); a small per-(key, bucket) count table gives each bucket its starting
+  offset, and ``row_number`` only runs inside (key, bucket) partitions.
 * ``halo_chunks`` cuts each key into fixed-size ordinal chunks and copies the
   last ``halo`` rows of every chunk into the next one, so a frame of
   ``halo`` preceding rows is complete inside every chunk partition.
@@ -51,26 +52,82 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _bisect(bounds: str, x: str, n: int) -> str:
+    """SQL: how many of the ``n`` (or fewer) ascending ``bounds`` lie below ``x``, in log n steps."""
+    steps = ", ".join(str(1 << k) for k in reversed(range(n.bit_length())))
+    return f"aggregate(array({steps}), 0, (at, s) -> CASE WHEN get({bounds}, at + s - 1) < {x} THEN at + s ELSE at END)"
+
+
+def _place(df: DataFrame, column: str) -> str | None:
+    """SQL: ``column`` as a number that orders alike; None if it is neither a number nor a time."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp"):
+        return f"unix_micros(cast(`{column}` AS timestamp))"
+    if kind == "date":
+        return f"unix_date(`{column}`)"
+    return f"`{column}`" if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") else None
+
+
+GRID = 65536
+
+
+def quantile_buckets(df: DataFrame, order: Sequence[str], parts: int | None = None,
+                     like: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """``df`` with bucket columns that ascend with ``order`` and hold at most about 1/``parts`` of all
+    rows each, whatever their keys; and the columns' names.
+
+    Bounds are approximate quantiles of the first order column, a scalar subquery: no job runs while
+    the plan is built. They are taken over ``like``, if given: a table with a column of that name and
+    spread, so that a frame derived at length isn't planned once more for them. A value that is a bound
+    itself (many rows may share it) is a bucket of its own, cut further by the next order columns: small
+    integers by value, long ones into stretches of ``GRID`` values. A first column that is neither a
+    number nor a time is not cut."""
+    parts = parts or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    like = df if like is None else like
+    x = _place(df, order[0])
+    if x is None:
+        return df, []
+    at = ", ".join(str(i / parts) + "D" for i in range(1, parts))
+    sketch = like.agg(F.expr(f"array_distinct(percentile_approx({_place(like, order[0])}, array({at}), {20 * parts}))").alias("b"))
+    out = df.withColumn("_bounds", sketch.scalar()).withColumn("_below", F.expr(_bisect("_bounds", x, parts)))
+    alone = f"({x} IS NULL OR coalesce(get(_bounds, _below) = {x}, false))"
+    places = {"_bkt0": F.expr(f"CASE WHEN {x} IS NULL THEN -1 ELSE 2 * _below + int({alone}) END")}
+    for i, c in enumerate(order[1:], 1):
+        kind = dict(df.dtypes)[c]
+        if kind not in ("tinyint", "smallint", "int", "bigint"):
+            break
+        step = f"floor(`{c}` / {GRID})" if kind == "bigint" else f"`{c}`"
+        places[f"_bkt{i}"] = F.expr(f"CASE WHEN {alone} THEN cast({step} AS bigint) ELSE 0 END")
+        if kind == "bigint":
+            break
+    return out.withColumns(places).drop("_bounds", "_below"), list(places)
+
+
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 bucket: Column, out: str = ORD) -> DataFrame:
+                 bucket: Column | Sequence[Column] | None = None, out: str = ORD, like: DataFrame | None = None) -> DataFrame:
     """Add a 0-based per-key ordinal following ``order``.
 
-    ``bucket`` must be monotone non-decreasing in ``order`` within a key
-    (e.g. ``floor(epoch/3600)``); it only controls how the numbering work is
-    split, never the result. A null key is a key of its own; rows without an
-    order value come first (a null bucket).
+    The work is split by ``quantile_buckets`` (over ``like``, if given); a caller may give a ``bucket``
+    of its own, one column or more, which must be monotone non-decreasing in ``order`` within a key. It
+    only controls how the numbering work is split, never the result. A null key is a key of its own;
+    rows without an order value come first.
     """
-    b = df.withColumn("_bkt", bucket)
-    counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    prior = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(
+    if bucket is None:
+        b, names = quantile_buckets(df, order, like=like)
+    else:
+        buckets = [bucket] if isinstance(bucket, Column) else list(bucket)
+        names = [f"_bkt{i}" for i in range(len(buckets))]
+        b = df.withColumns(dict(zip(names, buckets, strict=True)))
+    counts = b.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_bn"))
+    prior = Window.partitionBy(*keys).orderBy(*names).rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bkt",
+    offsets = counts.select(*keys, *names,
                             F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_boff"))
-    inner = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
+    inner = Window.partitionBy(*keys, *names).orderBy(*_cols(order))
     numbered = b.withColumn("_brn", F.row_number().over(inner))
-    return (join_null_safe(numbered, offsets, [*keys, "_bkt"])
+    return (join_null_safe(numbered, offsets, [*keys, *names])
             .withColumn(out, (F.col("_boff") + F.col("_brn") - 1).cast("long"))
-            .drop("_bkt", "_boff", "_brn"))
+            .drop(*names, "_boff", "_brn"))
 
 
 def halo_chunks(df: DataFrame, halo: int, chunk_rows: int, ordinal: str = ORD) -> DataFrame:
@@ -82,13 +139,14 @@ def halo_chunks(df: DataFrame, halo: int, chunk_rows: int, ordinal: str = ORD) -
     """
     if halo > chunk_rows:
         raise ValueError("halo must not exceed chunk_rows")
-    o = F.col(ordinal)
-    base = df.withColumn(CHUNK, F.floor(o / chunk_rows)).withColumn(HALO, F.lit(False))
+    own = F.floor(F.col(ordinal) / chunk_rows)
     if halo == 0:
-        return base
-    tail = (df.where(F.pmod(o, F.lit(chunk_rows)) >= chunk_rows - halo)
-            .withColumn(CHUNK, F.floor(o / chunk_rows) + 1).withColumn(HALO, F.lit(True)))
-    return base.unionByName(tail)
+        return df.withColumn(CHUNK, own).withColumn(HALO, F.lit(False))
+    copies = F.array(F.struct(own.alias("c"), F.lit(False).alias("h")))
+    tail = F.pmod(F.col(ordinal), F.lit(chunk_rows)) >= chunk_rows - halo
+    copies = F.when(tail, F.concat(copies, F.array(F.struct((own + 1).alias("c"), F.lit(True).alias("h"))))).otherwise(copies)
+    return df.select("*", F.explode(copies).alias("_copy")).select(
+        *df.columns, F.col("_copy.c").alias(CHUNK), F.col("_copy.h").alias(HALO))
 
 
 def _scan_chunk_rows(a: float) -> int:
@@ -141,3 +199,31 @@ def linear_scan(df: DataFrame, keys: Sequence[str], ordinal: str, b: str, a: flo
             .withColumn(out, F.col("_sl") + F.coalesce(F.col("_sprev"), F.lit(0.0)) *
                         F.exp((F.col("_sp") + 1) * la))
             .drop("_sc", "_sp", "_sl", "_sprev"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, order: Sequence[str],
+              take: Sequence[str], out: str = "asof") -> DataFrame:
+    """``left`` with the struct ``out`` (``time``, ``order``, ``take``) of the latest row of ``right`` with equal keys
+    and a strictly earlier ``time``; of several at that time the last by ``order``. Null if there is none.
+
+    Both sides are united and cut into ranges of time of about equally many rows (``quantile_buckets``). In
+    a range the latest row of ``right`` so far is carried along; each range's last one, a small table, is
+    carried over the ends of ranges. So a hot key is spread over many tasks. A null key is a key of its
+    own; rows without a time have no earlier row and are none. The columns of ``left`` stay as they are."""
+    held = F.struct(*[F.col(c) for c in [time, *order, *take]])
+    cols = left.columns
+    a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).alias("_t"), F.lit(0).alias("_side"),
+                    F.struct(*cols).alias("_row"))
+    b = right.where(F.col(time).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).alias("_t"),
+                                                    F.lit(1).alias("_side"), held.alias("_held"))
+    both, names = quantile_buckets(a.unionByName(b, allowMissingColumns=True), ["_t", "_side"],
+                                   like=a.select("_t").unionByName(b.select("_t")))
+    own = [f"_k{i}" for i in range(len(keys))]
+    # at one time the left rows come first, so that only earlier rows are seen; then the right ones by their order
+    seen = Window.partitionBy(*own, *names).orderBy("_t", "_side", "_held").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = both.withColumn("_seen", F.last("_held", ignorenulls=True).over(seen)).where(F.col("_side") == 0)
+    before = Window.partitionBy(*own).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*own, *names).agg(F.max("_held").alias("_end"))  # the struct begins with the time and order
+    ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    found = join_null_safe(within, ends, [*own, *names])
+    return found.select("_row.*", F.when(F.col("_t").isNotNull(), F.coalesce("_seen", "_carried")).alias(out))

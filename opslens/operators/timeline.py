@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.operators.ordered import (CHUNK, HALO, ORD, epoch_seconds, halo_chunks,
-                                       linear_scan, with_ordinal)
+from opslens.operators.ordered import CHUNK, HALO, ORD, asof_join, halo_chunks, linear_scan, with_ordinal
 
 GAP_SECONDS = 300   # events closer than this (strictly) join a cluster
 
@@ -50,8 +49,7 @@ def timeline(alerts: DataFrame, changes: DataFrame, related: DataFrame) -> DataF
                        F.lit("incident_db").alias("source"),
                        F.lit(2).alias("_tr"), "in_ord")
     u = a.unionByName(c).unionByName(r)
-    o = with_ordinal(u, ["incident_id"], ["ts", "_tr", "in_ord"],
-                     F.floor(epoch_seconds("ts") / 3600))
+    o = with_ordinal(u, ["incident_id"], ["ts", "_tr", "in_ord"])
     return o.select("incident_id", F.col(ORD).alias("ord"), "ts", "event_type", "description",
                     "source", "in_ord")
 
@@ -118,3 +116,15 @@ def change_before_alert(alerts: DataFrame, changes: DataFrame) -> DataFrame:
         F.col("c.in_ord").alias("change_id"),
         F.concat(F.lit("Change in "), F.coalesce("c.component", F.lit("unknown")), F.lit(": "),
                  F.coalesce("c.description", F.lit(""))).alias("root_cause"))
+
+
+def change_before_each_alert(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every alert with its latest change strictly before it (ties on time: the later input row
+    wins), by an as-of join; alerts without an earlier change have none."""
+    a = alerts.select("incident_id", F.col("fired_at").alias("timestamp"), F.col("in_ord").alias("alert_id"))
+    found = asof_join(a, changes, ["incident_id"], "timestamp", ["in_ord"], ["component", "description"], out="c")
+    return found.select(
+        "incident_id", "alert_id", F.col("timestamp").alias("fired_at"), F.col("c.timestamp").alias("change_ts"),
+        F.col("c.in_ord").alias("change_id"),
+        F.when(F.col("c").isNotNull(), F.concat(F.lit("Change in "), F.coalesce("c.component", F.lit("unknown")), F.lit(": "),
+                                                F.coalesce("c.description", F.lit("")))).alias("root_cause"))

@@ -8,6 +8,7 @@ from opslens.operators import alerts as al
 from opslens.operators import timeline as tlo
 from opslens.operators.ordered import epoch_seconds, with_ordinal
 from opslens.plans.registry import derived, register
+from opslens.session import materialize
 from opslens.tables import table
 
 R = 6
@@ -63,30 +64,78 @@ GROUP BY 1""")
 def rule_breaches(spark, sf_dir):
     pts = _events(spark, sf_dir).select(_key().alias("key"), "ts", "value")
     rules = al.alert_rules(pts.select("key").distinct(), al.templates(spark))
-    hits = al.evaluate_rules(pts, rules)
-    return hits.groupBy("name").agg(F.count(F.lit(1)).alias("breaches"), F.min("ts").alias("first_ts"),
-                                    F.max("ts").alias("last_ts"), F.max("value").alias("max_value"))
+    return al.breach_summary(pts, rules).select("name", "breaches", "first_ts", "last_ts", "max_value")
+
+
+@register("breaching_points", f"""
+SELECT e.event_id, upper(tpl.key) || '_ALERT' AS name, severity
+FROM events e JOIN {TPL_SQL} ON tpl.key = {KEY_SQL.replace('event_type', 'e.event_type')}
+ AND e.value > CAST(tpl.threshold AS DOUBLE)""")
+def breaching_points(spark, sf_dir):
+    """Each breaching point with the rules it breaches."""
+    pts = _events(spark, sf_dir).select(_key().alias("key"), "event_id", "value")
+    rules = al.alert_rules(pts.select("key").distinct(), al.templates(spark))
+    return al.evaluate_rules(pts, rules).select("event_id", "name", "severity")
+
+
+@register("threshold_ladder", """
+WITH r AS (SELECT 'rule_' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'all' ELSE (['error', 'view', 'click'])[p_size % 3 + 1] END AS key,
+                  p_retailprice / 4 AS threshold FROM part),
+p AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'all' ELSE event_type END AS key, round(value, 0) AS v, ts, count(*) AS n FROM events GROUP BY ALL)
+SELECT key, name, sum(n)::BIGINT AS breaches, min(ts) AS first_ts, max(ts) AS last_ts, max(v) AS max_value
+FROM p JOIN r USING (key) WHERE v > threshold GROUP BY ALL""")
+def threshold_ladder(spark, sf_dir):
+    """A rule for every part, half of them on one metric that has a third of all points: breaches by rule."""
+    price = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("rule_"), F.col("p_partkey").cast("string")).alias("name"), F.lit("warning").alias("severity"),
+        F.when(F.col("p_partkey") % 2 == 0, "all").otherwise(
+            F.element_at(F.array(F.lit("error"), F.lit("view"), F.lit("click")), (F.col("p_size") % 3 + 1).cast("int"))).alias("key"),
+        (F.col("p_retailprice") / 4).alias("threshold"))
+    pts = _events(spark, sf_dir).select(F.when(F.col("event_id") % 3 == 0, "all").otherwise(F.col("event_type")).alias("key"),
+                                        "ts", F.round("value", 0).alias("value"))
+    return al.breach_summary(pts, price)
+
+
+@register("sketch_percentiles", """
+SELECT event_type AS metric, count(*) AS n, unnest([0.5, 0.9, 0.99]) AS p, true AS within FROM events
+WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-26' GROUP BY 1""")
+def sketch_percentiles(spark, sf_dir):
+    """Percentiles over three weeks merged from sketches kept per metric and day (written and read back): whether
+    the exact rank of each answer is within 1 % of the rank asked for."""
+    ev = _events(spark, sf_dir).select(F.col("event_type").alias("metric"), F.to_date("ts").alias("day"), "value")
+    kept = materialize(al.quantile_sketches(ev, ["metric", "day"], "value"), "day-sketches")
+    weeks = F.col("day").between("2024-01-05", "2024-01-25")
+    found = al.sketch_quantiles(kept.where(weeks), ["metric"], [0.5, 0.9, 0.99])
+    asked = found.select("metric", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{round(p * 100)}").alias("v"))
+                                                            for p in (0.5, 0.9, 0.99)])).alias("a"))
+    # the rank of an answer is a range if values repeat
+    ranks = ev.where(weeks).join(asked, "metric").groupBy("metric", "n", F.col("a.p").alias("p")).agg(
+        F.count_if(F.col("value") < F.col("a.v")).alias("below"), F.count_if(F.col("value") <= F.col("a.v")).alias("upto"))
+    slack = F.greatest(F.lit(0.01) * F.col("n"), F.lit(1.0))
+    return ranks.select("metric", "n", "p", ((F.col("below") <= F.col("p") * F.col("n") + slack) &
+                                             (F.col("upto") >= F.col("p") * F.col("n") - slack)).alias("within"))
 
 
 @register("counter_rate", """
-WITH e AS (SELECT event_type AS metric, ts, event_id AS id, epoch_us(ts) AS us,
-                  row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS counter
-           FROM events),
+WITH e0 AS (SELECT event_type AS metric, CASE WHEN event_id % 5 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts, event_id AS id FROM events),
+e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY metric, CAST(ts AS DATE) ORDER BY ts, id) AS counter,
+             row_number() OVER (PARTITION BY metric ORDER BY ts, id) AS k FROM e0),
 l AS (SELECT *, lag(counter) OVER w AS pc, lag(us) OVER w AS pus FROM e
       WINDOW w AS (PARTITION BY metric ORDER BY ts, id)),
 d AS (SELECT *, CASE WHEN pc IS NULL THEN 0.0 WHEN counter < pc THEN counter::DOUBLE
                      ELSE (counter - pc)::DOUBLE END AS delta FROM l)
 SELECT metric, ts, id, counter,
-       round((sum(delta) OVER r - first_value(delta) OVER r) / 300, 6) AS rate,
-       round(CASE WHEN pc IS NULL THEN NULL ELSE delta / ((us - pus) / 1e6) END, 6) AS irate
+       round((sum(delta) OVER r - arg_min(delta, k) OVER r) / 300, 6) AS rate,
+       round(CASE WHEN pc IS NULL THEN NULL ELSE delta / nullif((us - pus) / 1e6, 0) END, 6) AS irate
 FROM d WINDOW r AS (PARTITION BY metric ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)""")
 def counter_rate(spark, sf_dir):
-    """Counter = running event count per metric and day (daily reset)."""
-    ev = _events(spark, sf_dir).select(F.col("event_type").alias("metric"), "ts",
+    """Counter = running event count per metric and day (daily reset); every fifth event is put at
+    its full hour, so samples share timestamps."""
+    ts = F.when(F.col("event_id") % 5 == 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).otherwise(F.col("ts"))
+    ev = _events(spark, sf_dir).select(F.col("event_type").alias("metric"), ts.alias("ts"),
                                        F.col("event_id").alias("id"), F.to_date("ts").alias("day"))
-    c = with_ordinal(ev, ["metric", "day"], ["ts", "id"], F.floor(epoch_seconds("ts") / 3600),
-                     out="_o").withColumn("counter", F.col("_o") + 1).drop("_o", "day")
-    r = al.counter_rates(c, ["metric"], window_seconds=300)
+    c = with_ordinal(ev, ["metric", "day"], ["ts", "id"], out="_o").withColumn("counter", F.col("_o") + 1).drop("_o", "day")
+    r = al.counter_rates(c, ["metric"], window_seconds=300, like=ev)
     return r.select("metric", "ts", "id", "counter", F.round("rate", R).alias("rate"),
                     F.round("irate", R).alias("irate"))
 
@@ -204,26 +253,30 @@ LE = [1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
 WITH b AS (SELECT event_type AS metric,
                   CASE """ + " ".join(f"WHEN value <= {x} THEN {x}::DOUBLE" for x in LE) + """
                        ELSE 'inf'::DOUBLE END AS le, count(*) AS cnt
-           FROM events GROUP BY ALL),
+           FROM events GROUP BY ALL
+           UNION ALL SELECT DISTINCT 'idle_' || event_type, unnest([1.0, 5.0, 'inf'::DOUBLE]), 0 FROM events),
 c0 AS (SELECT *, sum(cnt) OVER (PARTITION BY metric ORDER BY le ROWS UNBOUNDED PRECEDING) AS cum FROM b),
 c AS (SELECT *, lag(le) OVER (PARTITION BY metric ORDER BY le) AS prev_le,
              coalesce(lag(cum) OVER (PARTITION BY metric ORDER BY le), 0) AS prev_cum,
              max(le) FILTER (WHERE le <> 'inf'::DOUBLE) OVER (PARTITION BY metric) AS prev_finite,
              sum(cnt) OVER (PARTITION BY metric) AS total FROM c0),
 h AS (SELECT metric, arg_min(c, le) AS h FROM c WHERE cum >= 0.95 * total GROUP BY metric)
-SELECT metric, round(CASE WHEN h.le = 'inf'::DOUBLE THEN h.prev_finite
+SELECT metric, round(CASE WHEN h.total = 0 THEN NULL WHEN h.le = 'inf'::DOUBLE THEN h.prev_finite
                           WHEN h.prev_le IS NULL AND h.le <= 0 THEN h.le
                           ELSE coalesce(h.prev_le, 0) + (h.le - coalesce(h.prev_le, 0))
-                               * ((0.95 * h.total - h.prev_cum) / (h.cum - h.prev_cum)) END, 6) AS quantile
+                               * ((0.95 * h.total - h.prev_cum) / nullif(h.cum - h.prev_cum, 0)) END, 6) AS quantile
 FROM h""")
 def histogram_quantile(spark, sf_dir):
-    """0.95 quantile from le-buckets of event value (1 .. 250, +Inf)."""
+    """0.95 quantile from le-buckets of event value (1 .. 250, +Inf), and of series without any observation."""
     v = F.col("value")
     le = F.lit(float("inf"))
     for x in reversed(LE):
         le = F.when(v <= x, F.lit(x)).otherwise(le)
     b = _events(spark, sf_dir).groupBy(F.col("event_type").alias("metric"), le.alias("le")).agg(
         F.count(F.lit(1)).alias("cnt"))
+    idle = _events(spark, sf_dir).select(F.concat(F.lit("idle_"), "event_type").alias("metric")).distinct()
+    les = F.explode(F.array(F.lit(1.0), F.lit(5.0), F.lit(float("inf"))))
+    b = b.unionByName(idle.select("metric", les.alias("le"), F.lit(0).cast("long").alias("cnt")))
     q = al.histogram_quantile(b, ["metric"], 0.95)
     return q.select("metric", F.round("quantile", R).alias("quantile"))
 
@@ -309,7 +362,7 @@ def mttd_mttr(spark, sf_dir):
     detect = first error - start, remediate = end - first error, in minutes."""
     ev = _events(spark, sf_dir).select(F.col("user_id").alias("incident_id"), "ts",
                                        F.col("event_id").alias("id"), "event_type")
-    o = with_ordinal(ev, ["incident_id"], ["ts", "id"], F.floor(epoch_seconds("ts") / 86400), out="ord")
+    o = with_ordinal(ev, ["incident_id"], ["ts", "id"], out="ord")
     cl = tlo.gap_clusters(o, ["incident_id"], gap_seconds=3600)
     i = cl.groupBy("incident_id", "cluster").agg(
         F.min("ts").alias("s"), F.max("ts").alias("e"), F.count(F.lit(1)).alias("n"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opslens.operators import anomaly
-from opslens.plans.derive import metric_points
+from opslens.operators.ordered import ORD
+from opslens.plans.derive import ROUGH_SQL, metric_points, rough_points
 from opslens.plans.registry import register
 
 R = 6
@@ -17,37 +18,47 @@ def _rounded(df, *cols):
     return df
 
 
-SIGMA_SQL = """
-WITH p AS (
-  SELECT event_type AS metric, ts, event_id AS id, value,
-         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n,
-         avg(value) OVER w AS mean, stddev_samp(value) OVER w AS std
-  FROM events
-  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id
-               ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
-SELECT metric, ts, id, value, round(mean, 6) AS expected_value,
-       round(abs(value - mean) / std, 6) AS deviation,
-       CASE WHEN abs(value - mean) / std > 6 THEN 'critical' ELSE 'warning' END AS severity,
-       printf('Value %.2f is %.1f std from mean %.2f', value, abs(value - mean) / std, mean)
-         AS description
-FROM p WHERE n >= 10 AND std > 0 AND abs(value - mean) / std > 3
+PLAIN_SQL = "(SELECT event_type AS metric, ts, event_id AS id, value FROM events)"
+
+
+def _sigma_rows(thr: float, points: str = PLAIN_SQL) -> str:
+    """A window with a NaN has no mean; rows without a value are no points."""
+    return f"""
+  SELECT metric, ts, id, value, n, mean, std, abs(value - mean) / std AS dev FROM (
+    SELECT metric, ts, id, value, row_number() OVER w0 AS n, count(*) FILTER (WHERE isnan(value)) OVER w AS nans,
+           avg(value) FILTER (WHERE NOT isnan(value)) OVER w AS mean, stddev_samp(value) FILTER (WHERE NOT isnan(value)) OVER w AS std
+    FROM {points} WHERE value IS NOT NULL
+    WINDOW w0 AS (PARTITION BY metric ORDER BY ts, id NULLS FIRST, value),
+           w AS (PARTITION BY metric ORDER BY ts, id NULLS FIRST, value ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
+  WHERE n >= 10 AND nans = 0 AND std > 0 AND abs(value - mean) / std > {thr}"""
+
+
+def _sigma_sql(points: str) -> str:
+    return f"""
+SELECT metric, ts, id, value, round(mean, 6) AS expected_value, round(dev, 6) AS deviation,
+       CASE WHEN dev > 6 THEN 'critical' ELSE 'warning' END AS severity,
+       printf('Value %.2f is %.1f std from mean %.2f', value, dev, mean) AS description
+FROM ({_sigma_rows(3.0, points)})
 """
 
 
+SIGMA_SQL = _sigma_sql(ROUGH_SQL)
+SIGMA_PLAIN_SQL = _sigma_sql(PLAIN_SQL)
+
+
 @register("rolling_sigma_anomalies", SIGMA_SQL)
 def rolling_sigma_anomalies(spark, sf_dir):
-    return _rounded(anomaly.rolling_sigma(metric_points(spark, sf_dir)),
+    """Sigma detector over points with repeats, missing ids and values, ties and NaN."""
+    return _rounded(anomaly.rolling_sigma(rough_points(spark, sf_dir)),
                     "expected_value", "deviation")
 
 
-def _ewma_cte(alpha: float, seed_k: int = 8) -> str:
+def _ewma_cte(alpha: float, seed_k: int = 8, points: str = PLAIN_SQL) -> str:
     a = 1.0 - alpha
     return f"""
 WITH RECURSIVE p AS (
-  SELECT event_type AS metric, ts, event_id AS id, value,
-         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k,
-         first_value(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS x0
-  FROM events),
+  SELECT metric, ts, id, value, row_number() OVER w - 1 AS k, first_value(value) OVER w AS x0
+  FROM {points} WHERE value IS NOT NULL WINDOW w AS (PARTITION BY metric ORDER BY ts, id NULLS FIRST, value)),
 r AS (
   SELECT metric, k, ts, id, value, {alpha}::DOUBLE * value + {a}::DOUBLE * x0 AS e,
          {a}::DOUBLE * ({alpha}::DOUBLE * pow(value - ({alpha}::DOUBLE * value + {a}::DOUBLE * x0), 2)) AS v
@@ -56,22 +67,22 @@ r AS (
   SELECT p.metric, p.k, p.ts, p.id, p.value,
          {alpha}::DOUBLE * p.value + {a}::DOUBLE * r.e AS e,
          {a}::DOUBLE * (r.v + {alpha}::DOUBLE * pow(p.value - ({alpha}::DOUBLE * p.value + {a}::DOUBLE * r.e), 2)) AS v
-  FROM r JOIN p ON p.metric = r.metric AND p.k = r.k + 1)"""
+  FROM r JOIN p ON p.metric IS NOT DISTINCT FROM r.metric AND p.k = r.k + 1)"""
 
 
-EWMA_SQL = _ewma_cte(0.3) + """
+EWMA_SQL = _ewma_cte(0.3, points=ROUGH_SQL) + """
 SELECT metric, ts, id, value, round(e, 6) AS expected_value,
        round(abs(value - e) / sqrt(v), 6) AS deviation,
        CASE WHEN abs(value - e) / sqrt(v) > 4.0 THEN 'critical' ELSE 'warning' END AS severity,
        printf('EWMA deviation: %.1f std', abs(value - e) / sqrt(v)) AS description
-FROM r WHERE v > 0 AND abs(value - e) / sqrt(v) > 2.0
+FROM r WHERE v > 0 AND NOT isnan(v) AND abs(value - e) / sqrt(v) > 2.0
 """
 
 
 @register("ewma_anomalies", EWMA_SQL)
 def ewma_anomalies(spark, sf_dir):
     """EWMA detector, alpha 0.3, threshold 2.0 (the default 3.0 cannot fire)."""
-    return _rounded(anomaly.ewma(metric_points(spark, sf_dir), alpha=0.3, threshold=2.0),
+    return _rounded(anomaly.ewma(rough_points(spark, sf_dir), alpha=0.3, threshold=2.0),
                     "expected_value", "deviation")
 
 
@@ -108,43 +119,31 @@ def metric_history_last_n(spark, sf_dir):
     return anomaly.history(metric_points(spark, sf_dir), limit=100)
 
 
-def _sigma_rows(thr: float) -> str:
-    return f"""
-  SELECT metric, ts, id, value, mean, std, abs(value - mean) / std AS dev FROM (
-    SELECT event_type AS metric, ts, event_id AS id, value,
-           row_number() OVER w0 AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS std
-    FROM events
-    WINDOW w0 AS (PARTITION BY event_type ORDER BY ts, event_id),
-           w AS (PARTITION BY event_type ORDER BY ts, event_id
-                 ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
-  WHERE n >= 10 AND std > 0 AND abs(value - mean) / std > {thr}"""
-
-
 COOLDOWN_SQL = f"""
 WITH RECURSIVE a AS (
-  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts, id) AS k,
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY n) AS k,
          epoch_us(ts) / 1e6 AS t
-  FROM ({_sigma_rows(1.5)})),
+  FROM ({_sigma_rows(1.5, ROUGH_SQL)})),
 r AS (
   SELECT metric, k, t AS last_t, true AS emitted FROM a WHERE k = 1
   UNION ALL
   SELECT a.metric, a.k,
          CASE WHEN a.t > r.last_t + 21600 THEN a.t ELSE r.last_t END,
          a.t > r.last_t + 21600
-  FROM r JOIN a ON a.metric = r.metric AND a.k = r.k + 1)
+  FROM r JOIN a ON a.metric IS NOT DISTINCT FROM r.metric AND a.k = r.k + 1)
 SELECT a.metric, a.ts, a.id, a.value, round(a.mean, 6) AS expected_value,
        round(a.dev, 6) AS deviation,
        CASE WHEN a.dev > 3.0 THEN 'critical' ELSE 'warning' END AS severity
-FROM a JOIN r ON r.metric = a.metric AND r.k = a.k WHERE r.emitted
+FROM a JOIN r ON r.metric IS NOT DISTINCT FROM a.metric AND r.k = a.k WHERE r.emitted
 """
 
 
 @register("cooldown_alerts", COOLDOWN_SQL)
 def cooldown_alerts(spark, sf_dir):
     """Sigma anomalies at threshold 1.5 through a 6 h per-metric cooldown."""
-    an = anomaly.rolling_sigma(metric_points(spark, sf_dir), threshold=1.5)
+    an = anomaly.rolling_sigma(rough_points(spark, sf_dir), threshold=1.5, extra=(ORD,))
     kept = anomaly.cooldown(an, seconds=21600)
-    return _rounded(kept.drop("description"), "expected_value", "deviation")
+    return _rounded(kept.drop("description", ORD), "expected_value", "deviation")
 
 
 CHECK_SQL = f"""

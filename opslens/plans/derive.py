@@ -22,6 +22,36 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("metric"), "ts", F.col("event_id").alias("id"), "value")
 
 
+def rough(points: DataFrame) -> DataFrame:
+    """(metric, ts, id, value) of events, batch or stream, with what real sources have: every 5th point at
+    its full hour, every 23rd without an id, every 29th without a value, every 31st three times, a third of
+    the views without a metric, and a metric 'probe' beside the errors in which every 100th value is NaN."""
+    e = F.col("event_id")
+    kind, every, none = F.col("event_type"), F.lit(1), F.lit(None)
+    metrics = (F.when(kind == "error", F.array(kind, F.lit("probe")))
+               .when((kind == "view") & (e % 3 == 0), F.array(none.cast("string"))).otherwise(F.array(kind)))
+    copies = F.sequence(every, F.when(e % 31 == 0, F.lit(3)).otherwise(every))
+    rows = points.select("event_id", F.explode(metrics).alias("metric"), copies.alias("_copies"),
+                         F.when(e % 5 == 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).otherwise(F.col("ts")).alias("ts"),
+                         F.when(e % 23 != 0, e).alias("id"), F.when(e % 29 != 0, F.col("value")).alias("value"))
+    odd = (F.col("metric") == "probe") & (e % 100 == 3)
+    return rows.select("metric", "ts", "id", F.when(odd, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
+                       F.explode("_copies").alias("_copy")).drop("_copy")
+
+
+ROUGH_SQL = """(
+  SELECT metric, ts, id, CASE WHEN metric = 'probe' AND event_id % 100 = 3 THEN 'NaN'::DOUBLE ELSE value END AS value
+  FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts,
+               CASE WHEN event_id % 23 <> 0 THEN event_id END AS id, CASE WHEN event_id % 29 <> 0 THEN value END AS value,
+               unnest(CASE WHEN event_type = 'error' THEN ['error', 'probe'] WHEN event_type = 'view' AND event_id % 3 = 0 THEN [NULL]
+                           ELSE [event_type] END) AS metric FROM events),
+       LATERAL (SELECT unnest(range(CASE WHEN event_id % 31 = 0 THEN 3 ELSE 1 END))))"""
+
+
+def rough_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rough(table(spark, sf_dir, "events"))
+
+
 @derived
 def incident_parts(spark: SparkSession, sf_dir: str):
     """events -> incident parts keyed by user_id.

@@ -149,12 +149,12 @@ SELECT instance, round(100 - avg(irate) * 100, 6) AS busy_pct FROM r GROUP BY in
 def cpu_busy_by_instance(spark, sf_dir):
     """100 - avg by instance of irate(idle counter) x 100; the idle counter is a
     running sum of value/100 per instance (user_id mod 5)."""
-    from opslens.operators.ordered import ORD, epoch_seconds, linear_scan, with_ordinal
+    from opslens.operators.ordered import ORD, linear_scan, with_ordinal
     e = _ev(spark, sf_dir).select(F.concat(F.lit("host-"), (F.col("user_id") % 5).cast("string")).alias("instance"),
                                   "ts", F.col("event_id").alias("id"), (F.col("value") / 100).alias("inc"))
-    o = with_ordinal(e, ["instance"], ["ts", "id"], F.floor(epoch_seconds("ts") / 3600))
-    c = linear_scan(o, ["instance"], ORD, "inc", 1.0, "counter").drop(ORD)
-    r = al.counter_rates(c.select("instance", "ts", "id", "counter"), ["instance"])
+    o = with_ordinal(e, ["instance"], ["ts", "id"])
+    c = linear_scan(o, ["instance"], ORD, "inc", 1.0, "counter")
+    r = al.counter_rates(c.select("instance", "ts", "id", "counter", ORD), ["instance"], like=e)
     return r.groupBy("instance").agg(F.round(100 - F.avg("irate") * 100, R).alias("busy_pct"))
 
 
@@ -257,8 +257,7 @@ w AS (SELECT metric, unnest(range((us // 30000000) * 30000000 - 270000000, (us /
       FROM e)
 SELECT metric, strftime(make_timestamp(ws), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS events FROM w GROUP BY ALL""")
 def stream_sliding_counts(spark, sf_dir):
-    """5-minute windows sliding every 30 s over the event stream."""
+    """5-minute windows sliding every 30 s, merged from the 30 s panes that the event stream keeps."""
     ev = sm.table_stream(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), "ts")
-    g = sm.sliding_counts_stream(ev).withColumn("window_start", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
-    res = sm.run_until_caught_up(g, "sliding", "update", keys=["metric", "window_start"])
-    return res.select("metric", "window_start", "events")
+    panes = sm.run_until_caught_up(sm.pane_counts_stream(ev), "panes", "update", keys=["metric", "w"])
+    return sm.merge_panes(panes).select("metric", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "events")

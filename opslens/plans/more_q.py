@@ -13,7 +13,6 @@ from opslens.plans import anomaly_q, derive, runner
 from opslens.plans.registry import register
 from opslens.session import ensure_checkpoint_dir
 from opslens.sinks import writers
-from opslens.sources import files
 from opslens.sources.metrics import MetricRegistry
 from opslens.streaming import monitor as sm
 from opslens.tables import table
@@ -31,7 +30,7 @@ def _round(df):
 UNION ALL SELECT 'sigma', * FROM ({anomaly_q.SIGMA_SQL}) UNION ALL SELECT 'other', * FROM ({anomaly_q.SIGMA_SQL})""")
 def detect_by_name(spark, sf_dir):
     """Detector chosen by name; an unknown name is the rolling sigma."""
-    pts = derive.metric_points(spark, sf_dir)
+    pts = derive.rough_points(spark, sf_dir)
     out = None
     for name, kw in (("ewma", {"alpha": 0.3, "threshold": 2.0}), ("sigma", {}), ("other", {})):
         rows = _round(anomaly.detect(pts, name, **kw)).select(F.lit(name).alias("method"), "*")
@@ -90,7 +89,7 @@ def metric_registry(spark, sf_dir):
     return points.select("metric", "ts", "id", "value", F.size("labels").alias("n_labels"))
 
 
-@register("alert_channel_payloads", f"""WITH s AS ({anomaly_q.SIGMA_SQL})
+@register("alert_channel_payloads", f"""WITH s AS ({anomaly_q.SIGMA_PLAIN_SQL})
 SELECT id, 'webhook' AS channel, metric || ' anomaly' AS title, severity AS level, description AS message, true AS dedup_ok FROM s
 UNION ALL SELECT id, 'pagerduty', metric || ' anomaly', CASE severity WHEN 'critical' THEN 'critical' ELSE 'warning' END,
   'trigger', true FROM s""")
@@ -127,41 +126,6 @@ def incident_round_trip(spark, sf_dir):
     return writers.latest_incidents(spark, path).select("incident_id", "title")
 
 
-def _nation_incidents(spark, sf_dir) -> str:
-    """One JSON document a nation (its suppliers as alerts; every tenth without a time), a file each."""
-    s = table(spark, sf_dir, "supplier")
-    at = F.date_format(F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(s_suppkey % 300 as int))"),
-                       "yyyy-MM-dd'T'HH:mm:ss")
-    alert = F.struct(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("name"),
-                     F.when(F.col("s_suppkey") % 10 != 0, at).alias("fired_at"),
-                     F.when(F.col("s_acctbal") > 0, "pager").alias("source"))
-    docs = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(alert)).alias("alerts")).select(
-        "s_nationkey", F.to_json(F.struct(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("incident_id"),
-                                          "alerts")).alias("value"))
-    path = _folder(spark, "nation-incidents")
-    docs.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
-    return path
-
-
-@register("incident_alerts", """
-SELECT 'n' || s_nationkey AS incident_id, 'supplier ' || s_suppkey AS name, CASE WHEN s_acctbal > 0 THEN 'pager' END AS source,
-  s_suppkey % 10 = 0 AS time_missing,
-  CASE WHEN s_suppkey % 10 <> 0 THEN strftime(DATE '2024-01-01' + CAST(s_suppkey % 300 AS INT), '%Y-%m-%d') END AS day FROM supplier""")
-def incident_alerts(spark, sf_dir):
-    """Incident files read with the declared schema and flattened; a missing time is the time of reading."""
-    alerts, _, _ = files.incident_parts(files.read_incidents(spark, _nation_incidents(spark, sf_dir)))
-    now = F.col("fired_at") > F.expr("timestamp_ntz '2025-06-01 00:00:00'")
-    return alerts.select("incident_id", "name", "source", now.alias("time_missing"),
-                         F.when(~now, F.date_format("fired_at", "yyyy-MM-dd")).alias("day"))
-
-
-@register("incident_history", "SELECT least(20, count(DISTINCT s_nationkey)) AS incidents FROM supplier")
-def incident_history(spark, sf_dir):
-    """The incidents written last, at most 20 (the cap is the feature)."""
-    return files.incident_history(spark, _nation_incidents(spark, sf_dir)).agg(
-        F.count_distinct("incident_id").alias("incidents"))
-
-
 @register("report_sink", """SELECT event_type AS metric, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS y FROM events GROUP BY ALL""")
 def report_sink(spark, sf_dir):
     """Daily means written by day and read back."""
@@ -189,8 +153,7 @@ def run_log(spark, sf_dir):
 
 
 def _stream_points(spark, sf_dir):
-    return sm.table_stream(spark, sf_dir, "events").select(
-        F.col("event_type").alias("metric"), "ts", F.col("event_id").alias("id"), "value")
+    return derive.rough(sm.table_stream(spark, sf_dir, "events"))
 
 
 @register("stream_monitor", anomaly_q.SIGMA_SQL)
@@ -216,7 +179,7 @@ p AS (SELECT event_type AS metric, ts, event_id AS id, value, row_number() OVER
   FROM c WHERE NOT clear
   WINDOW w0 AS (PARTITION BY event_type, part ORDER BY ts, event_id),
          w AS (PARTITION BY event_type, part ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
-SELECT metric, ts, id, value, round(mean, 4) AS expected_value, round(abs(value - mean) / std, 4) AS deviation,
+SELECT metric, ts, id, value, round(mean, 6) AS expected_value, round(abs(value - mean) / std, 6) AS deviation,
   CASE WHEN abs(value - mean) / std > 4 THEN 'critical' ELSE 'warning' END AS severity
 FROM p WHERE n >= 10 AND std > 0 AND abs(value - mean) / std > 2""")
 def stream_clear_control(spark, sf_dir):
@@ -225,6 +188,4 @@ def stream_clear_control(spark, sf_dir):
         F.col("event_type").alias("metric"), "ts", F.col("event_id").alias("id"), "value",
         F.when(F.col("event_id") % 100 == 0, "clear").alias("control"))
     out = sm.run_until_caught_up(sm.detect_stream(pts, threshold=2.0), "clear")
-    # the mean of prefix sums is off by 1e-13 or so, which decides a tie at the fifth digit: nine digits first
-    return out.withColumn("expected_value", F.round(F.round("expected_value", 9), 4)).withColumn(
-        "deviation", F.round("deviation", 4)).drop("description")
+    return _round(out).drop("description")

@@ -8,12 +8,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opslens.operators import risk as rk
-from opslens.plans import alerts_q, anomaly_q, render_q
+from opslens.plans import alerts_q, anomaly_q, derive, render_q
 from opslens.plans.registry import register
 from opslens.streaming import monitor as sm
 
 
 def _points(spark, sf_dir):
+    return derive.rough(sm.table_stream(spark, sf_dir, "events"))
+
+
+def _plain_points(spark, sf_dir):
     ev = sm.table_stream(spark, sf_dir, "events")
     return ev.select(F.col("event_type").alias("metric"), "ts", F.col("event_id").alias("id"), "value")
 
@@ -116,7 +120,7 @@ def stream_canary_gate(spark, sf_dir):
     return res.select("period", "version", "total", "errors", F.round("ratio", 6).alias("ratio"), "failed")
 
 
-@register("stream_alert_payloads", f"""WITH s AS ({anomaly_q.SIGMA_SQL})
+@register("stream_alert_payloads", f"""WITH s AS ({anomaly_q.SIGMA_PLAIN_SQL})
 SELECT metric, id, 'slack' AS channel,
        '{{"text":"' || CASE severity WHEN 'critical' THEN '🔴' ELSE '⚠️' END || ' *' || metric || ' anomaly*\\n'
          || description || '"}}' AS payload
@@ -129,7 +133,7 @@ def stream_alert_payloads(spark, sf_dir):
                      F.lit("aiops-agent").alias("source"))
         return rk.payloads(rk.route(d)).select("metric", "id", "channel", "payload")
 
-    out = sm.run_until_caught_up(sm.detect_stream(_points(spark, sf_dir)).transform(routed), "alerts")
+    out = sm.run_until_caught_up(sm.detect_stream(_plain_points(spark, sf_dir)).transform(routed), "alerts")
     return out
 
 

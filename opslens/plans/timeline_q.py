@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opslens.operators import timeline as tlo
-from opslens.operators.ordered import ORD, epoch_seconds, with_ordinal
+from opslens.operators.ordered import ORD, with_ordinal
 from opslens.plans.derive import incident_parts, metric_points
 from opslens.plans.registry import derived, register
 
@@ -73,7 +73,7 @@ def gap_clusters_global(spark, sf_dir):
     ev = metric_points(spark, sf_dir).select(
         F.lit("all").alias("stream"), "ts", "id",
         F.concat_ws(" ", "metric", F.col("id").cast("string")).alias("description"))
-    o = with_ordinal(ev, ["stream"], ["ts", "id"], F.floor(epoch_seconds("ts") / 3600), out="ord")
+    o = with_ordinal(ev, ["stream"], ["ts", "id"], out="ord")
     cl = tlo.gap_clusters(o, ["stream"], gap_seconds=300)
     return tlo.cluster_summary(cl, ["stream"])
 
@@ -112,3 +112,17 @@ FROM c GROUP BY incident_id, first_alert""")
 def change_before_alert(spark, sf_dir):
     alerts, changes, _ = incident_parts(spark, sf_dir)
     return tlo.change_before_alert(alerts, changes)
+
+
+@register("change_before_each_alert", """
+WITH e AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS incident_id FROM events),
+a AS (SELECT incident_id, ts, event_id FROM e WHERE event_type IN ('error', 'click')),
+c AS (SELECT incident_id, ts, event_id FROM e WHERE event_type = 'signup')
+SELECT a.incident_id, a.event_id AS alert_id, a.ts AS fired_at, c.ts AS change_ts, c.event_id AS change_id,
+       'Change in svc' || (c.event_id % 7) || ': deploy ' || c.event_id AS root_cause
+FROM a ASOF LEFT JOIN c ON a.incident_id = c.incident_id AND a.ts > c.ts""")
+def change_before_each_alert(spark, sf_dir):
+    """Each alert's latest earlier change; a third of all users are one incident."""
+    alerts, changes, _ = incident_parts(spark, sf_dir)
+    hot = F.when(F.col("incident_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("incident_id"))
+    return tlo.change_before_each_alert(alerts.withColumn("incident_id", hot), changes.withColumn("incident_id", hot))

@@ -57,15 +57,14 @@ def read_documents(spark: SparkSession, path: str, category: str | None = None)
     """Markdown files as whole texts with name and modification time; an
     optional category sub-folder."""
     p = f"{path.rstrip('/')}/{category}" if category else path
-    d = (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md")
-         .option("recursiveFileLookup", "true").text(p))
+    d = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(p, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
                     F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"))
 
 
 def read_scripts(spark: SparkSession, path: str, glob: str = "*.ms") -> DataFrame:
     """Script files as whole texts, carriage returns removed."""
-    d = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(path)
+    d = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"),
                     F.regexp_replace("value", "\r", "").alias("text"))
 

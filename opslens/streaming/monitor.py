@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opslens.operators import anomaly as an
-from opslens.operators.ordered import ORD, join_null_safe, linear_scan, with_ordinal
+from opslens.operators.ordered import ORD, epoch_seconds, join_null_safe, linear_scan, with_ordinal
 from opslens.session import ensure_checkpoint_dir
 from opslens.tables import table
 
@@ -178,8 +178,7 @@ class DetectStream:
         parts = F.lit(0).cast("long")
         if control:   # clear rows cut a metric into parts
             flag = F.when(F.col("control") == "clear", 1.0).otherwise(0.0)
-            bucket = F.floor(an.epoch_seconds("ts") / 3600)
-            cut = with_ordinal(rows.withColumn("_clear", flag), ["metric"], ["ts", "id"], bucket, out="_at")
+            cut = with_ordinal(rows.withColumn("_clear", flag), ["metric"], ["ts", "id", "value"], out="_at")
             cut = linear_scan(cut, ["metric"], "_at", "_clear", 1.0, "_parts")
             rows = keep(cut.select("metric", "ts", "id", "value", "_clear", F.round("_parts").cast("long").alias("_part")), "cut")
             last_part = rows.groupBy("metric").agg(F.max("_part").alias("_last"))
@@ -202,12 +201,12 @@ class DetectStream:
             found = found.limit(0)
         found = keep(found, "anomalies")
         if self.cooldown is not None:
-            # what the last alert still holds back, then the fold over the rest; a row's ordinal is its id there
-            seconds = an.epoch_seconds("ts")
+            # what the last alert still holds back, then the cooldown over the rest
+            seconds = epoch_seconds("ts")
             due = (found.join(pair.select("metric", "last_alert"), "metric", "left")
                    .where(F.col("last_alert").isNull() | (seconds > F.col("last_alert") + F.lit(float(self.cooldown))))
-                   .drop("last_alert").withColumn("_id", F.col("id")).withColumn("id", F.col(ORD)))
-            found = keep(an.cooldown(due, self.cooldown).withColumn("id", F.col("_id")).drop("_id"), "alerts")
+                   .drop("last_alert"))
+            found = keep(an.cooldown(due, self.cooldown), "alerts")
         # the state after this micro-batch: rows of each metric's last part
         live = every.withColumn("_m", _metric_of("metric"))
         if control:
@@ -217,7 +216,7 @@ class DetectStream:
         live = keep(live.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= max(self.history, 1))
                     .select("metric", "_m", "ts", "id", "value", ORD), "live")
         after = live.groupBy("metric", "_m").agg((F.max(ORD) + 1).alias("n"))
-        alerts = found.groupBy("metric").agg(F.max(an.epoch_seconds("ts")).alias("_alert"))
+        alerts = found.groupBy("metric").agg(F.max(epoch_seconds("ts")).alias("_alert"))
         after = after.join(alerts, "metric", "left").join(pair.drop("n"), "metric", "left")
         e, v = F.col("e"), F.col("v")
         if states is not None:
@@ -279,7 +278,20 @@ def period_stats_stream(points: DataFrame, period: str = "300 seconds") -> DataF
                  F.count(F.lit(1)).alias("samples"))
 
 
+def pane_counts_stream(events: DataFrame, pane: str = "30 seconds") -> DataFrame:
+    """Events by metric and pane ``w``: each event is counted once, whatever windows its pane is in."""
+    return _evt(events).groupBy("metric", F.window("_evt", pane).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+
+
+def merge_panes(panes: DataFrame, length: str = "5 minutes", slide: str = "30 seconds") -> DataFrame:
+    """(metric, w, events) of sliding windows, merged from panes (metric, w, events) that are as long as
+    the slide. Only panes are multiplied, one row a metric and slide at most."""
+    return panes.groupBy("metric", F.window("w.start", length, slide).alias("w")).agg(F.sum("events").alias("events"))
+
+
 def sliding_counts_stream(events: DataFrame, length: str = "5 minutes", slide: str = "30 seconds") -> DataFrame:
+    """Sliding windows as one stream, for a sink that wants the windows themselves: every event is
+    multiplied by the windows it is in. ``pane_counts_stream`` with ``merge_panes`` is the cheaper way."""
     return _evt(events).groupBy("metric", F.window("_evt", length, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("events"))
 

@@ -82,7 +82,7 @@ def test_rolling_moments_small_chunks(spark):
     vals = [rnd.choice([1.0, 1.0, 2.0, 50.0]) for _ in range(300)]
     df = spark.createDataFrame([("m", t0 + dt.timedelta(seconds=i), i, v) for i, v in enumerate(vals)],
                                "metric string, ts timestamp_ntz, id long, value double")
-    got = {r.id: r for r in anomaly.rolling_moments(df, history=5, chunk_rows=7, bucket_seconds=13).collect()}
+    got = {r.id: r for r in anomaly.rolling_moments(df, history=5, chunk_rows=7).collect()}
     for i in range(300):
         w = vals[max(0, i - 4): i + 1]
         mean = sum(w) / len(w)
@@ -102,9 +102,9 @@ def cooldown_fold(times, seconds):
     return keep
 
 
-@pytest.mark.parametrize("cool,max_group", [(300, 100_000), (3600, 100_000), (21600, 100_000),
-                                            (300, 1), (21600, 1), (3600, 5)])
-def test_cooldown_matches_fold(spark, cool, max_group):
+@pytest.mark.parametrize("cool,chunk_rows", [(300, 8192), (3600, 8192), (21600, 8192),
+                                             (300, 2), (21600, 2), (3600, 5)])
+def test_cooldown_matches_fold(spark, cool, chunk_rows):
     pts = metric_points(spark, SF_SMALL)
     an = anomaly.rolling_sigma(pts, threshold=1.5)
     rows = an.orderBy("metric", "ts", "id").collect()
@@ -115,7 +115,7 @@ def test_cooldown_matches_fold(spark, cool, max_group):
     for m, rs in by.items():
         ts = [(r.ts - dt.datetime(1970, 1, 1)).total_seconds() for r in rs]
         want |= {(m, rs[i].id) for i in cooldown_fold(ts, cool)}
-    got = {(r.metric, r.id) for r in anomaly.cooldown(an, cool, max_group=max_group).collect()}
+    got = {(r.metric, r.id) for r in anomaly.cooldown(an, cool, chunk_rows=chunk_rows, group_chunks=3).collect()}
     assert got == want
 
 
