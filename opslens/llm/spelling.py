@@ -39,8 +39,8 @@ LEAST_COUNT = 2
 RATIO = 10
 EVERY = 31          # a run whose checksum this divides loses a letter
 SAMPLE = 50_000     # words that the cells are cut by
-CELL = 8192         # words of a cell, about
-GROUP = 60_000      # rows of a group's words or queries, at most
+CELL = 32_768       # words of a cell, about
+GROUP = 250_000     # rows of a group's words or queries, at most
 LEAF = 24           # words of a leaf of a cell's tree
 
 # A-Z to a-z, a-z and the first byte of U+00C0 to U+00FF (0xC3) are letters; all else separates.
@@ -93,7 +93,8 @@ def counts_of(letters: np.ndarray) -> np.ndarray:
     """The letter-count vector of each row."""
     n = len(letters)
     at = letters.astype(np.int64) + np.arange(n)[:, None] * ALPHABET
-    return np.bincount(at.ravel(), minlength=n * ALPHABET).reshape(n, ALPHABET).astype(np.int32)
+    kind = np.int8 if letters.shape[1] < 120 else np.int32
+    return np.bincount(at.ravel(), minlength=n * ALPHABET).reshape(n, ALPHABET).astype(kind)
 
 
 class KdTree:
@@ -131,12 +132,15 @@ class KdTree:
             below = values <= cut
             todo += [(rows[below], me, False), (rows[~below], me, True)]
 
-    def reached(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, numbers of the queries whose L1 distance to its box is at most ``radius``).
+    def reached(self, queries: np.ndarray, radius: int, apart: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, numbers of the queries whose L1 distance to its box is at most ``radius``); ``apart``
+        is what each query's distance is beforehand.
 
         A box is what the cuts on the way leave of each axis. Going to a child changes one axis, so
         the distance changes by that axis's part alone."""
-        todo = [(0, np.arange(len(queries)), np.zeros(len(queries), np.int32), {})]
+        start = np.zeros(len(queries), np.int32) if apart is None else apart.astype(np.int32)
+        near = np.flatnonzero(start <= radius)
+        todo = [(0, near, start[near], {})]
         while todo:
             node, rows, distance, box = todo.pop()
             axis = self.axis[node]
@@ -144,7 +148,7 @@ class KdTree:
                 yield self.low[node], rows
                 continue
             cut, (low, high) = self.at[node], box.get(axis, (0, 1 << 30))
-            q = queries[rows, axis]
+            q = queries[rows, axis].astype(np.int32)
             old = np.maximum(low - q, 0) + np.maximum(q - high, 0)
             for child, part in ((self.low[node], (low, cut)), (self.high[node], (cut + 1, high))):
                 new = distance - old + np.maximum(part[0] - q, 0) + np.maximum(q - part[1], 0)
@@ -178,16 +182,20 @@ def near_pairs(queries: list[str], points: list[str], longer: int) -> Iterator[t
         return
     width = len(points[0])
     own, theirs = letters_of(points, width), letters_of(queries, width - longer)
-    vectors, asked = counts_of(own), counts_of(theirs)
     same = one_inserted if longer else one_replaced
     radius = 1 if longer else 2
+    vectors, asked = counts_of(own), counts_of(theirs)
+    used = vectors.any(axis=0)  # letters that no point has only add to the distance
+    vectors, asked = np.ascontiguousarray(vectors[:, used]), np.ascontiguousarray(asked[:, used])
+    apart = (width - longer - asked.sum(axis=1)).astype(asked.dtype)
     tree = KdTree(vectors, LEAF)
-    for leaf, rows in tree.reached(asked, radius):
+    for leaf, rows in tree.reached(asked, radius, apart):
         held = tree.leaves[leaf]
         box = vectors[held]
         low, high = box.min(axis=0), box.max(axis=0)  # tighter than the cuts
         some = asked[rows]
-        rows = rows[(np.maximum(low - some, 0) + np.maximum(some - high, 0)).sum(axis=1) <= radius]
+        beyond = np.abs(some - np.clip(some, low, high)).sum(axis=1, dtype=np.int32)
+        rows = rows[beyond + apart[rows] <= radius]
         for k in range(0, len(rows), 4096):
             part = rows[k:k + 4096]
             for m in range(0, len(held), 256):  # a leaf of equal vectors can be large
