@@ -1,12 +1,15 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 An item's windows are its ``n`` consecutive words (all of them if it has
-fewer). The windows' hashes are broadcast as one sorted array with the exact
-windows beside it; documents are scanned window by window (a rolling sum over
-word codes; only windows all of whose words some item has are looked up),
-every hash hit is verified word by word, and its span and items are kept.
-
-The broadcast is bounded: at most ``SLICE_WORDS`` item words. A larger
+fewer). What is broadcast are numpy arrays: the items' words as codes, one
+behind the other, and for each window its hash (sorted), its place among the
+codes and its item; documents are scanned window by window (only windows all
+of whose words some item has are looked up), every hash hit is verified word by
+word at its place, and its span and items are kept.
+
+The broadcast is bounded: a slice has at most ``SLICE_WORDS`` item words, or
+one item. A word takes 20 bytes in the arrays and about 120 in the table of
+words if it is a new one, so a slice takes at most 70 MB in a worker. A larger
 benchmark is dealt into slices by item, and the documents are scanned once a
 slice with the spans carried along, so the result is the same at any size.
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from opslens.llm.common import fresh_name, settle
 
 N = 10
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 500_000
 
 # A-Z to a-z; digits, a-z and all bytes above 0x7F are word characters, the rest separate.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
@@ -44,24 +47,37 @@ class NGrams:
 
     def __init__(self, items: list[tuple[str, str]], n: int = N):
         self.code: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, list[str]]] = {}  # length -> exact window -> items
+        self.items = sorted({item_id for item_id, _ in items})
+        number = {item_id: k for k, item_id in enumerate(self.items)}
+        flat: list[np.ndarray] = []
+        held, spans = 0, {}  # length of windows -> (first places, items, counts)
         for item_id, text in items:
-            own = np.array([self.code.setdefault(w, len(self.code) + 1) for w in words(text)], np.int64)
-            size = min(n, len(own))
-            for i in range(len(own) - size + 1 if size else 0):
-                found = self.windows.setdefault(size, {}).setdefault(own[i:i + size].tobytes(), [])
-                if item_id not in found:
-                    found.append(item_id)
-        self.hashes = {size: np.sort(self._hash(np.frombuffer(b"".join(own), np.int64).reshape(-1, size)))
-                       for size, own in self.windows.items()}
+            own = np.array([self.code.setdefault(w, len(self.code) + 1) for w in words(text)], np.int32)
+            if size := min(n, len(own)):
+                spans.setdefault(size, []).append((held, number[item_id], len(own) - size + 1))
+            flat.append(own)
+            held += len(own)
+        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # length -> hash, place, item
+        for size, own in spans.items():
+            place = np.concatenate([np.arange(a, a + k) for a, _, k in own])
+            item = np.repeat([i for _, i, _ in own], [k for _, _, k in own])
+            found = np.concatenate([self._hash(self.flat[place[k:k + 65_536, None] + np.arange(size)])
+                                    for k in range(0, len(place), 65_536)])
+            order = np.lexsort((item, found))
+            self.tables[size] = found[order], place[order].astype(np.int32), item[order].astype(np.int32)
 
     @classmethod
     def of(cls, state: tuple) -> NGrams:
-        """From (code, windows, hashes): plain values, which any worker can read."""
+        """From (code, items, flat, tables): plain values, which any worker can read."""
         out = cls([])
-        out.code, out.windows, out.hashes = state
+        out.code, out.items, out.flat, out.tables = state
         return out
 
+    @property
+    def state(self) -> tuple:
+        return self.code, self.items, self.flat, self.tables
+
     @staticmethod
     def _hash(rows: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rows), np.uint64)
@@ -76,7 +92,7 @@ class NGrams:
         codes = np.array([get(w, 0) for w in own], np.int64)
         known = np.concatenate(([0], np.cumsum(codes > 0)))
         spans, items = [], set()
-        for size, table in self.hashes.items():
+        for size, (table, place, item) in self.tables.items():
             if len(own) < size:
                 continue
             at = np.flatnonzero(known[size:] - known[:-size] == size)
@@ -84,12 +100,14 @@ class NGrams:
                 some = at[part:part + (1 << 16)]
                 rows = codes[some[:, None] + np.arange(size)]
                 found = self._hash(rows)
-                place = np.minimum(np.searchsorted(table, found), len(table) - 1)
-                for k in np.flatnonzero(table[place] == found).tolist():
-                    hit = self.windows[size].get(rows[k].tobytes())  # verified word by word
-                    if hit:
-                        items.update(hit)
+                first, last = np.searchsorted(table, found, "left"), np.searchsorted(table, found, "right")
+                for k in np.flatnonzero(first < last).tolist():
+                    near = slice(first[k], last[k])  # verified word by word
+                    same = (self.flat[place[near][:, None] + np.arange(size)] == rows[k]).all(axis=1)
+                    if same.any():
+                        items.update(item[near][same].tolist())
                         spans.append((int(some[k]), int(some[k]) + size))
+        items = {self.items[i] for i in items}
         return len(own), merged(spans), sorted(items)
 
 
@@ -141,7 +159,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits", n: int =
     none = F.lit(None).cast(_KIND)
     rows, first = docs.withColumn(out, none), True
     for grams in _slices(benchmark, n, limit, item_col, item_text):
-        scan = _scanner(spark.sparkContext.broadcast((grams.code, grams.windows, grams.hashes)))
+        scan = _scanner(spark.sparkContext.broadcast(grams.state))
         if not first:
             rows = settle(rows, "hits")
         rows, first = rows.withColumn(out, scan(F.coalesce(F.col(text_col), F.lit("")), F.col(out))), False
