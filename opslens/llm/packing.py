@@ -5,12 +5,13 @@
 2. ``plan``: only the histogram of lengths (at most ``capacity`` rows) reaches
    the driver. A configuration is a multiset of lengths that fits a sequence.
    The covering program (as few sequences as cover all counts) is solved by
-   multiplicative weights: the price of a length falls as it is covered, and a
-   knapsack dynamic program finds the configuration of the highest price. The
-   fractional solution is rounded down and taken off the histogram, and this
-   is repeated on the rest; what rounding leaves goes by best-fit decreasing,
-   bin classes at a time. The plan's size depends on the capacity and the number
-   of configurations, not on the number of documents.
+   multiplicative weights: they are the duals, a length's price falls as it is
+   covered, and a knapsack dynamic program finds the configuration of the highest
+   price. Pricing all lengths at once gives a lower bound on the sequences, and
+   the gap to it is what ends the work. The fractional solution is rounded down;
+   what rounding leaves goes by best-fit decreasing, bin classes at a time. The
+   plan's size depends on the capacity and the number of configurations, not on
+   the number of documents.
 3. ``pack``: pieces of one length are numbered in two levels (bucket counts,
    then rows within a bucket), and the number is looked up in the plan.
 
@@ -21,6 +22,7 @@ packs into nothing.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,13 +37,13 @@ from opslens.llm.common import id_text, settle, shuffle_width
 from opslens.llm.tokens import SLICE_BYTES, WordEncoder, slices
 
 CAPACITY = 2048
-STEPS = 4000    # multiplicative-weight steps at most
-SHARE = 0.5     # of the scarcest count that a step covers
-ETA = 4.0       # how fast a covered length loses weight
-PREFER = 0.05   # how much a full weight adds to a length's price
-WASTE = 0.01    # what a configuration may lack of a sequence's worth; then best fit takes over
-PASSES = 3      # times that the program is solved, each with the weights of the one before
-DEARER = 0.02   # how much a length's dual grows whose whole count was left to best fit
+SHARE = 0.5     # of the scarcest count that a use of a configuration covers
+ETA = 0.05      # how fast a covered length loses weight
+GROUP = 128     # lengths that are priced together in a round, about
+ROUNDS = 64     # rounds from one pricing of all lengths to the next
+WASTE = 0.01    # what a configuration may lack of a full sequence; then best fit takes over
+PASSES = 3      # times that the program is solved, at most
+GAP = 0.0002    # to the lower bound, as a share, at which it ends
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY,
@@ -108,41 +110,57 @@ def best_configuration(lengths: np.ndarray, price: np.ndarray, copies: np.ndarra
     return found
 
 
-def fractional(left: np.ndarray, cost: np.ndarray) -> list[tuple[dict[int, int], float]]:
-    """Multiplicative weights for the covering program over the counts ``left``.
+def fractional(left: np.ndarray, seed: int = 0) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Multiplicative weights for the covering program over the counts ``left``: configurations with
+    how often each is used, and a lower bound on the number of sequences.
 
-    ``cost`` is the dual value of a piece of each length, in sequences. A length's weight
-    begins at its size and falls by a factor for each share of its count that is covered. Each
-    step prices all lengths that are not covered by cost and weight, takes the configuration of
-    the highest price, and uses it until its scarcest length has had a fixed share of its count.
-    It ends when the best configuration is not worth a sequence, or all is covered.
+    The weights are the duals: a piece's price is its length's weight. It begins at the length's share of
+    a sequence, where no configuration is worth more than one sequence, and falls by a factor as the
+    count is covered. A round deals the lengths that are not covered yet into groups by chance, prices
+    each group by the knapsack, and uses the configuration of the highest price until its scarcest
+    length has had a fixed share of its count. Every ``ROUNDS`` rounds all lengths are priced at once:
+    by weak duality the counts' total price over the best configuration's is a lower bound. It ends when
+    all is covered, or the best configuration of all lengths left does not fill a sequence.
     """
     capacity = len(left) - 1
     lengths = np.flatnonzero(left)
     if not len(lengths):
-        return []
+        return [], 0.0
+    rng = np.random.default_rng(seed)
     count = left[lengths].astype(float)
     covered = np.zeros(len(lengths))
-    weight = lengths / capacity
-    out = []
-    for _ in range(STEPS):
-        open_ = np.flatnonzero(covered < count)
+    out: list[tuple[dict[int, int], float]] = []
+    bound, size, rounds = 0.0, GROUP, 0
+    while True:
+        price = lengths / capacity * np.exp(-ETA * covered / count)
+        if rounds % ROUNDS == 0:
+            most = np.minimum(capacity // lengths, np.ceil(count)).astype(int)
+            whole = best_configuration(lengths[::-1], price[::-1], most[::-1], capacity)
+            worth = sum(price[np.searchsorted(lengths, x)] * k for x, k in whole.items())
+            bound = max(bound, float((count * price).sum() / worth))
+        rounds += 1
+        open_ = rng.permutation(np.flatnonzero(covered < count))
         if not len(open_):
-            break
-        own = lengths[open_][::-1]
-        price = cost[own] * (1 + PREFER * weight[open_][::-1])
-        room = np.floor((count - covered)[open_][::-1] + 1e-9)
-        copies = np.minimum(capacity // own, np.maximum(room, 1))
-        config = best_configuration(own, price, copies.astype(int), capacity)
-        if sum(cost[x] * k for x, k in config.items()) < 1 - WASTE:
-            break
-        at = np.searchsorted(lengths, list(config))
-        each = np.array(list(config.values()), float)
-        use = min(((count[at] - covered[at]) / each).min(), max(1.0, SHARE * (count[at] / each).min()))
-        covered[at] += use * each
-        weight[at] *= np.exp(-ETA * use * each / count[at])
-        out.append((config, use))
-    return out
+            return out, bound
+        groups = max(1, len(open_) // size)
+        used = False
+        for group in np.array_split(open_, groups):
+            group = np.sort(group)[::-1]
+            room = np.floor((count - covered)[group] + 1e-9)
+            copies = np.minimum(capacity // lengths[group], np.maximum(room, 1)).astype(int)
+            config = best_configuration(lengths[group], price[group], copies, capacity)
+            if sum(x * k for x, k in config.items()) < (1 - WASTE) * capacity:
+                continue
+            at = np.searchsorted(lengths, list(config))
+            each = np.array(list(config.values()), float)
+            use = min(((count[at] - covered[at]) / each).min(), max(1.0, SHARE * (count[at] / each).min()))
+            covered[at] += use * each
+            out.append((config, use))
+            used = True
+        if not used:
+            if groups == 1:
+                return out, bound
+            size = 2 * size
 
 
 class Stretch(NamedTuple):
@@ -155,35 +173,33 @@ class Stretch(NamedTuple):
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Stretch], int]:
-    """(where the pieces of each length go, number of sequences).
+    """(where the pieces of each length go, number of sequences); see ``solve``."""
+    return solve(histogram, capacity)[:2]
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Stretch], int, float]:
+    """Also the gap: by how much the number of sequences exceeds the lower bound, as a share of it.
 
-    The first duals are the lengths' sizes. Each pass solves the program and rounds it; a
-    length grows dearer by a factor for the share of its count that rounding left over, and
-    the duals are scaled so that no configuration is worth more than a sequence. The pass with
-    the fewest sequences is kept. Best fit alone is the comparison: it is taken only if no pass
-    reaches its count.
+    Each pass solves the program, rounds it down, and gives what is left to best fit; it ends with the
+    first pass whose gap is at most ``GAP``, after ``PASSES`` of them at the latest, and the best one is
+    kept. Best fit alone is the comparison: it is taken only if no pass reaches its count.
     """
     alone = rounded(histogram, capacity, None)
-    fewest = -(-sum(length * n for length, n in histogram.items()) // capacity)
-    cost = np.arange(capacity + 1) / capacity
-    lengths = np.array(sorted(histogram, reverse=True), np.int64)
-    count = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    best = None
-    for _ in range(PASSES):
-        found = rounded(histogram, capacity, cost)
+    best, fewest = None, 0
+    for seed in range(PASSES):
+        found = rounded(histogram, capacity, seed)
+        fewest = max(fewest, math.ceil(found[3] - 1e-6))
         if best is None or found[1] < best[1]:
             best = found
-        if best[1] == fewest or not len(lengths):
+        if best[1] <= (1 + GAP) * fewest:
             break
-        cost[lengths] *= np.exp(DEARER * found[2][lengths] / count)
-        top = best_configuration(lengths, cost[lengths], np.minimum(capacity // lengths, count), capacity)
-        cost /= max(1.0, sum(cost[x] * k for x, k in top.items()))
-    return (best if best[1] <= alone[1] else alone)[:2]
+    best = best if best[1] <= alone[1] else alone
+    return best[0], best[1], best[1] / fewest - 1 if fewest else 0.0
 
 
-def rounded(histogram: dict[int, int], capacity: int, cost: np.ndarray | None) -> tuple[list[Stretch], int, np.ndarray]:
-    """Solve (unless ``cost`` is None), round down, and best fit for the rest; the stretches,
-    the number of sequences, and the count of each length that was left to best fit."""
+def rounded(histogram: dict[int, int], capacity: int, seed: int | None) -> tuple[list[Stretch], int, np.ndarray, float]:
+    """Solve (unless ``seed`` is None), round down, and best fit for the rest; the stretches, the number
+    of sequences, the count of each length that was left to best fit, and a lower bound."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -203,7 +219,10 @@ def rounded(histogram: dict[int, int], capacity: int, cost: np.ndarray | None) -
 
     if left[capacity]:
         lay([(capacity, 1)], int(left[capacity]))
-    for config, use in fractional(left, cost) if cost is not None else ():
+    bound = float(sequences)
+    configs, rest_bound = fractional(left, seed) if seed is not None else ([], 0.0)
+    bound += rest_bound
+    for config, use in configs:
         times = min(int(use + 1e-9), *(int(left[x]) // k for x, k in config.items()))
         if times:
             lay(sorted(config.items(), reverse=True), times)
@@ -234,7 +253,7 @@ def rounded(histogram: dict[int, int], capacity: int, cost: np.ndarray | None) -
     for classes in bins.values():
         for config, many in classes:
             lay(config, many)
-    return out, sequences, rest
+    return out, sequences, rest, bound
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
