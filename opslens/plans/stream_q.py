@@ -103,6 +103,35 @@ def stream_dead_letters(spark, sf_dir):
     return res.select("job_id", "attempts", "dead_letter")
 
 
+EXPIRING_SQL = """
+WITH e AS (SELECT l_orderkey AS job_id, l_shipdate AS ts, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate IS NOT NULL),
+g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > {ttl}000000 THEN 1 ELSE 0 END AS cut FROM e
+      WINDOW w AS (PARTITION BY job_id ORDER BY ts, l_linenumber)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY job_id ORDER BY ts, l_linenumber ROWS UNBOUNDED PRECEDING) AS life FROM g),
+a AS (SELECT job_id, life, count(DISTINCT l_linenumber) AS attempts, max((ts, l_linenumber, l_quantity)) AS l FROM i GROUP BY ALL),
+z AS (SELECT job_id, arg_max(attempts, life) AS attempts, arg_max(l, life) AS l FROM a GROUP BY 1)
+SELECT job_id, l[1] AS ts, l[2] AS l_linenumber, l[3] AS l_quantity, attempts, attempts > 3 AS dead_letter FROM z"""
+
+
+def _expiring(spark, sf_dir, days: int, tag: str):
+    li = sm.table_stream(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("job_id"), "l_linenumber", "l_quantity", F.col("l_shipdate").alias("shipped"))
+    jobs = sm.ExpiringState(li, "job_id", "shipped", ["l_linenumber"], ["l_linenumber", "l_quantity"], "l_linenumber", days * 86400)
+    return sm.run_expiring(jobs, tag)
+
+
+@register("stream_expiring_attempts", EXPIRING_SQL.replace("{ttl}", str(4 * 86400)))
+def stream_expiring_attempts(spark, sf_dir):
+    """Receives per job (line items of an order) with a time to live of 4 days, and its latest event."""
+    return _expiring(spark, sf_dir, 4, "attempts")
+
+
+@register("stream_expiring_states", EXPIRING_SQL.replace("{ttl}", str(14 * 86400)))
+def stream_expiring_states(spark, sf_dir):
+    """Latest state per job with a time to live of 14 days."""
+    return _expiring(spark, sf_dir, 14, "states")
+
+
 @register("stream_canary_gate", """
 SELECT strftime(make_timestamp((epoch_us(ts) // 60000000) * 60000000), '%Y-%m-%d %H:%M:%S') AS period,
        CASE WHEN user_id % 2 = 0 THEN 'stable' ELSE 'canary' END AS version,

@@ -326,6 +326,91 @@ def dead_letters_stream(deliveries: DataFrame, key: str = "job_id", delivery: st
         "dead_letter", F.col("attempts") > max_attempts)
 
 
+class ExpiringState:
+    """Attempts and latest event of each job, kept only while the job is alive: a job without an event for
+    ``ttl_seconds`` of event time is forgotten, and starts afresh with its next event.
+
+    ``step`` handles a micro-batch with what the one before it left in ``state`` (a shared folder): a row for each
+    live job and the deliveries of its present life, so state is bounded by the jobs alive.
+    Rows of a job are taken in the order (``ts``, ``order``); a gap above the time to live between two of
+    them ends a life, also inside one micro-batch. A delivery seen in the same life counts once. A micro-batch
+    that runs again reads the state of the one before it and writes its own anew. The work is a sorted
+    window per job on the executors, which spills; no job is gathered in a Python worker."""
+
+    def __init__(self, events: DataFrame, key: str, ts: str, order: list[str], cols: list[str], delivery: str,
+                 ttl_seconds: int, max_attempts: int = MAX_ATTEMPTS):
+        self.events, self.key, self.ts, self.order, self.cols = events, key, ts, order, cols
+        self.delivery, self.ttl, self.max_attempts = delivery, int(ttl_seconds * 1_000_000), max_attempts
+
+    def start(self, sink: Callable[[DataFrame, int], None], checkpoint: str, state: str, **trigger) -> "StreamingQuery":  # noqa: F821
+        def each(batch: DataFrame, batch_id: int) -> None:
+            sink(self.step(batch, batch_id, state), batch_id)
+        return (self.events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start())
+
+    def step(self, batch: DataFrame, batch_id: int, state: str) -> DataFrame:
+        """key, ts of its last event, the columns of that event, attempts, dead_letter: jobs with an event in this batch."""
+        spark = self.events.sparkSession
+        own, before = f"{state}/batch-{batch_id}", f"{state}/batch-{batch_id - 1}"
+        latest = F.struct(F.col(self.ts).alias("ts"), *[F.col(c) for c in [*self.order, *[c for c in self.cols if c not in self.order]]])
+        new = batch.where(F.col(self.ts).isNotNull()).select(
+            F.col(self.key).alias("_key"), F.unix_micros(F.col(self.ts).cast("timestamp")).alias("_us"), latest.alias("_latest"),
+            F.col(self.delivery).alias("_delivery"), F.lit(1).cast("long").alias("_n"), F.lit(True).alias("_new"))
+
+        def carried(name: str, like: DataFrame) -> DataFrame:
+            path = f"{before}/{name}"
+            return spark.read.schema(like.schema).parquet(path) if _exists(spark, path) else like.limit(0)
+
+        live = carried("live", new.drop("_new", "_delivery")).withColumns({"_new": F.lit(False), "_delivery": F.lit(None).cast(
+            new.schema["_delivery"].dataType)})
+        seen = carried("seen", new.select("_key", "_delivery"))
+        rows = new.unionByName(live)
+        by_time = Window.partitionBy("_key").orderBy("_us", "_new", "_latest")
+        rows = rows.withColumn("_life", F.when(F.col("_us") - F.lag("_us").over(by_time) > self.ttl, 1).otherwise(0))
+        rows = rows.withColumn("_life", F.sum("_life").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+        rows.write.mode("overwrite").parquet(f"{own}/rows")
+        rows = spark.read.schema(rows.schema).parquet(f"{own}/rows")
+        # a delivery counts once in a life: in this batch, and not if the life goes on from the state, which saw it
+        goes_on = rows.where(~F.col("_new")).select("_key", F.col("_life").alias("_old"))
+        rows = join_null_safe(rows, goes_on, ["_key"], "left")
+        known = F.col("_new") & F.col("_delivery").isNotNull()
+        rows = rows.join(seen.select(F.col("_key").alias("_sk"), F.col("_delivery").alias("_sd")).distinct(),
+                         known & (F.col("_life") == F.col("_old")) & F.col("_key").eqNullSafe(F.col("_sk")) & (F.col("_delivery") == F.col("_sd")),
+                         "left").withColumn("_again", F.col("_sd").isNotNull()).drop("_sk", "_sd")
+        counted = F.when(known & ~F.col("_again"), F.struct("_delivery"))
+        lives = rows.groupBy("_key", "_life").agg(
+            (F.count_distinct(counted) + F.sum(F.when(~known, F.col("_n")).otherwise(0))).alias("_n"),
+            F.max("_us").alias("_us"), F.max("_latest").alias("_latest"), F.max("_new").alias("_new"))
+        last = lives.groupBy("_key").agg(F.max_by(F.struct("_us", "_latest", "_n", "_new", "_life"), "_life").alias("l")).select("_key", "l.*")
+        last.write.mode("overwrite").parquet(f"{own}/last")
+        last = spark.read.schema(last.schema).parquet(f"{own}/last")
+        now = last.agg(F.max("_us")).scalar()
+        live = last.where(F.col("_us") >= now - self.ttl)
+        live.select("_key", "_us", "_latest", "_n").write.mode("overwrite").parquet(f"{own}/live")
+        lives = live.select("_key", "_life")
+        came = join_null_safe(rows.where(F.col("_new") & F.col("_delivery").isNotNull()), lives, ["_key", "_life"]).select("_key", "_delivery")
+        stays = join_null_safe(seen, join_null_safe(goes_on.withColumnRenamed("_old", "_life"), lives, ["_key", "_life"]), ["_key"])
+        came.unionByName(stays.select("_key", "_delivery")).distinct().write.mode("overwrite").parquet(f"{own}/seen")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch-{batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return last.where("_new").select(F.col("_key").alias(self.key), F.col("_latest.ts").alias("ts"),
+                                         *[F.col(f"_latest.{c}").alias(c) for c in self.cols], F.col("_n").alias("attempts"),
+                                         (F.col("_n") > self.max_attempts).alias("dead_letter"))
+
+
+def run_expiring(jobs: ExpiringState, tag: str) -> DataFrame:
+    """Run with trigger(availableNow); each job as the last micro-batch with an event of it left it."""
+    spark = jobs.events.sparkSession
+    root = _scratch(spark, tag)
+
+    def write(found: DataFrame, batch_id: int) -> None:
+        found.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/out/batch-{batch_id}")
+
+    jobs.start(write, f"{root}/checkpoint", f"{root}/state", availableNow=True).awaitTermination()
+    found = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out")
+    newest = Window.partitionBy(jobs.key).orderBy(F.col("_batch").desc())
+    return found.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn", "_batch")
+
+
 # ---------------- approval expiry with an event-time deadline (STR9) ----------------
 
 def approval_expiry_stream(requests: DataFrame, decisions: DataFrame, timeout_seconds: int = 3600,
