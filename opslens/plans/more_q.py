@@ -13,6 +13,7 @@ from opslens.plans import anomaly_q, derive, runner
 from opslens.plans.registry import register
 from opslens.session import ensure_checkpoint_dir
 from opslens.sinks import writers
+from opslens.sinks.commitlog import CommitLog
 from opslens.sources.metrics import MetricRegistry
 from opslens.streaming import monitor as sm
 from opslens.tables import table
@@ -71,7 +72,8 @@ def iac_files(spark, sf_dir):
 SELECT event_type || 's' AS metric, ts, event_id AS id, value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS n_labels
 FROM events WHERE event_type IN ('error', 'view')""")
 def metric_registry(spark, sf_dir):
-    """Providers by name: two collected, one that fails and one that is unknown skipped."""
+    """Providers by name: two collected; one that fails when it is built, one that fails when it is
+    executed and one that is unknown are skipped."""
     ev = table(spark, sf_dir, "events")
 
     def provider(kind, labels):
@@ -84,8 +86,12 @@ def metric_registry(spark, sf_dir):
     reg.register_metric("errors", provider("error", True))
     reg.register_metric("views", provider("view", False))
     reg.register_metric("broken", lambda s: s.read.parquet(f"{sf_dir}/no_such_table.parquet"))
+    reg.register_metric("stops", lambda s: ev.select("ts", F.col("event_id").alias("id"), F.when(
+        F.col("event_id") % 7 == 3, F.raise_error(F.lit("no answer")).cast("double")).otherwise(F.col("value")).alias("value")))
     reg.register_metric("clicks", provider("click", False))
-    points, _ = reg.collect(spark, ["errors", "views", "broken", "unknown"])
+    points, failed = reg.collect(spark, ["errors", "views", "broken", "stops", "unknown"])
+    if failed != ["broken", "stops"]:
+        raise RuntimeError(f"skipped: {failed}")
     return points.select("metric", "ts", "id", "value", F.size("labels").alias("n_labels"))
 
 
@@ -126,6 +132,30 @@ def incident_round_trip(spark, sf_dir):
     return writers.latest_incidents(spark, path).select("incident_id", "title")
 
 
+@register("incident_upserts", """
+SELECT 'i' || c_custkey AS incident_id, CASE WHEN c_custkey % 5 = 0 THEN 'closed' WHEN c_custkey % 3 = 0 THEN 'open again' ELSE 'open' END AS status,
+  CASE WHEN c_custkey % 5 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS version FROM customer""")
+def incident_upserts(spark, sf_dir):
+    """Incidents upserted by three batches through the commit log: one runs twice (the second time with other
+    rows), one stops before its commit, and the log is compacted in between."""
+    log = CommitLog(spark, _folder(spark, "incident-log"))
+    c = table(spark, sf_dir, "customer")
+
+    def batch(status: str, version: int, every: int):
+        return c.where(F.col("c_custkey") % every == 0).select(
+            F.concat(F.lit("i"), F.col("c_custkey").cast("string")).alias("incident_id"), F.lit(status).alias("status"),
+            F.lit(version).alias("version"))
+
+    log.write(batch("open", 0, 1), 0)
+    log.write(batch("open again", 1, 3), 1)
+    log.write(batch("never seen", 9, 1), 1)
+    batch("half written", 9, 1).write.parquet(f"{log.path}/data/batch-stopped")
+    log.compact(["incident_id"])
+    log.write(batch("never seen", 9, 1), 0)
+    log.write(batch("closed", 2, 5), 2)
+    return log.read(["incident_id"])
+
+
 @register("report_sink", """SELECT event_type AS metric, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS y FROM events GROUP BY ALL""")
 def report_sink(spark, sf_dir):
     """Daily means written by day and read back."""

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opslens.session import materialize
+
 POINT_SCHEMA = "metric string, ts timestamp_ntz, id long, value double, labels map<string,string>"
 
 INSTANT_SCHEMA = ("struct<status:string,data:struct<result:array<struct<metric:map<string,string>,"
@@ -23,8 +25,9 @@ class MetricRegistry:
     """Named providers, each ``fn(spark) -> DataFrame`` of metric points.
 
     ``collect`` unions the selected providers (all when ``names`` is empty;
-    unknown names are skipped) and skips providers that fail to build, as
-    the monitor skips a failing collector instead of recording 0."""
+    unknown names are skipped) and skips providers that fail, when they are built or when
+    they are executed, as the monitor skips a failing collector instead of recording 0.
+    Collecting executes each provider once: its points are written to the shared folder."""
 
     def __init__(self) -> None:
         self._providers: dict[str, Provider] = {}
@@ -46,6 +49,7 @@ class MetricRegistry:
                     F.col("id").cast("long").alias("id"), F.col("value").cast("double").alias("value"),
                     (F.col("labels") if "labels" in src.columns
                      else F.create_map().cast("map<string,string>")).alias("labels"))
+                df = materialize(df, "collected-metric")
             except Exception:  # noqa: BLE001 - a failing collector is skipped
                 failed.append(n)
                 continue
