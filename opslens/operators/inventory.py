@@ -3,6 +3,8 @@ components, folder listing, requirements and package.json dependencies."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ LANGUAGE_PATTERNS = [
     ("docker", ["Dockerfile*", "docker-compose*.yml"]),
     ("kubernetes", ["*.yaml", "*.yml", "helm/**"]),
 ]
-# route patterns: (framework, regex with groups (object, verb, path))
+# Route patterns (framework, regex with groups (object, verb, path)).
 ROUTE_PATTERNS = {
     "fastapi": r"""@(app|router)\.(get|post|put|patch|delete)\(['"]([^'"]+)['"]""",
     "flask": r"""@(app|blueprint)\.(route|get|post|put|delete)\(['"]([^'"]+)['"]""",
@@ -52,22 +54,13 @@ def visible(files: DataFrame, path: str = "path") -> DataFrame:
 def language_mix(files: DataFrame, repo: str = "repo", path: str = "path") -> DataFrame:
     """Per repo: files matching each language's patterns; the language with
     most files wins, ties by declaration order; none -> unknown."""
-    rows = None
-    for rank, (lang, pats) in enumerate(LANGUAGE_PATTERNS):
-        cond = None
-        for p in pats:
-            c = F.col(path).rlike(_glob_re(p))
-            cond = c if cond is None else (cond | c)
-        r = files.select(repo, F.lit(lang).alias("language"), F.lit(rank).alias("_rank"),
-                         cond.cast("int").alias("_hit"))
-        rows = r if rows is None else rows.unionByName(r)
-    counts = rows.groupBy(repo, "language", "_rank").agg(F.sum("_hit").alias("files"))
-    best = counts.where(F.col("files") > 0).groupBy(repo).agg(
-        F.max_by(F.struct("language", "files"), F.struct("files", -F.col("_rank"))).alias("b"))
-    repos = files.select(repo).distinct()
-    return repos.join(best, repo, "left").select(
-        repo, F.coalesce(F.col("b.language"), F.lit("unknown")).alias("language"),
-        F.coalesce(F.col("b.files"), F.lit(0)).alias("files"))
+    hits = [reduce(Column.__or__, [F.col(path).rlike(_glob_re(p)) for p in pats]) for _, pats in LANGUAGE_PATTERNS]
+    counts = files.groupBy(repo).agg(*[F.count_if(c).alias(f"_n{k}") for k, c in enumerate(hits)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"_n{k}").alias("n"), F.lit(-k).alias("rank"), F.lit(lang).alias("language"))
+                                 for k, (lang, _) in enumerate(LANGUAGE_PATTERNS)]))
+    return counts.withColumn("_best", best).select(
+        repo, F.when(F.col("_best.n") > 0, F.col("_best.language")).otherwise("unknown").alias("language"),
+        F.col("_best.n").alias("files"))
 
 
 def endpoints(files: DataFrame, repo: str = "repo", cap: int = ENDPOINT_CAP) -> DataFrame:
@@ -91,15 +84,8 @@ def endpoints(files: DataFrame, repo: str = "repo", cap: int = ENDPOINT_CAP) ->
 def components(files: DataFrame, repo: str = "repo", path: str = "path") -> DataFrame:
     """Components named by folder words (distinct per repo)."""
     folder = F.lower(F.regexp_replace(F.col(path), "/[^/]*$", ""))
-    rows = None
-    for comp, words in COMPONENT_RULES:
-        cond = None
-        for w in words:
-            c = folder.contains(w)
-            cond = c if cond is None else (cond | c)
-        r = files.where(cond).select(repo, F.lit(comp).alias("component"))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows.distinct()
+    named = F.array(*[F.when(reduce(Column.__or__, [folder.contains(w) for w in words]), F.lit(comp)) for comp, words in COMPONENT_RULES])
+    return files.select(repo, F.explode(F.array_compact(named)).alias("component")).distinct()
 
 
 def folder_listing(files: DataFrame, repo: str = "repo", path: str = "path",
