@@ -273,7 +273,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                                            pa.array(at + (r - first) % each * x)], ["sequence_id", "offset"])
 
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    rows = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shuffle_width(found.sparkSession))))
+    rows = found.withColumn("bucket", F.pmod(
+        F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_width(found.sparkSession))))
     ahead = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = (rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
             .select("length", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")))
