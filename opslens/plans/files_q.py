@@ -13,7 +13,8 @@ from opslens.operators import filesig, inventory
 from opslens.plans.registry import register
 from opslens.session import ensure_checkpoint_dir
 from opslens.sinks.rowfiles import write_files
-from opslens.sources import files
+from opslens.sources import files, responses
+from opslens.streaming import monitor as sm
 from opslens.tables import table
 
 
@@ -145,3 +146,37 @@ def incident_history(spark, sf_dir):
     found = files.incident_history(spark, incident_folder(spark, sf_dir))
     newest = Window.orderBy(F.col("file_time").desc(), "file")  # 20 rows
     return found.select("incident_id", F.when(F.row_number().over(newest) <= 8, 1).otherwise(2).alias("batch"))
+
+
+RESPONSES_SQL = """
+SELECT 'r' || lpad((event_id // 200)::VARCHAR, 9, '0') || '.json' AS file, 'chunk-' || (event_id // 200) AS instance,
+  make_timestamp((epoch_us(ts) // 1000000) * 1000000) AS ts, value FROM events WHERE (event_id // 200) % 7 <> 3"""
+
+
+def response_folder(spark, sf_dir) -> str:
+    """A range response for 200 events each, in a file of its own; every seventh file is cut short."""
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 200).alias("chunk"), F.array(
+        seconds.cast("string"), F.col("value").cast("string")).alias("sample"))
+    c = e.groupBy("chunk").agg(F.collect_list("sample").alias("values"))  # 200 samples
+    series = F.struct(F.struct(F.concat(F.lit("chunk-"), F.col("chunk").cast("string")).alias("instance")).alias("metric"), "values")
+    text = F.when(F.col("chunk") % 7 == 3, F.expr("substring(text, 1, 40)")).otherwise(F.col("text"))
+    rows = c.withColumn("text", F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.array(series).alias("result")).alias("data"))))
+    return _written(rows.select(F.format_string("r%09d.json", "chunk").alias("path"), text.alias("content")), "responses")
+
+
+@register("metric_responses", RESPONSES_SQL)
+def metric_responses(spark, sf_dir):
+    """Saved responses read by the data source; unreadable ones are skipped."""
+    responses.register(spark)
+    found = spark.read.format("metric_responses").option("filesPerPartition", 8).load(response_folder(spark, sf_dir))
+    return found.select("file", F.col("labels")["instance"].alias("instance"), "ts", "value")
+
+
+@register("stream_metric_responses", RESPONSES_SQL)
+def stream_metric_responses(spark, sf_dir):
+    """The same as a stream."""
+    responses.register(spark)
+    found = spark.readStream.format("metric_responses").load(response_folder(spark, sf_dir))
+    rows = found.select("file", F.col("labels")["instance"].alias("instance"), "ts", "value")
+    return sm.run_until_caught_up(rows, "responses")
