@@ -1,5 +1,7 @@
 """License scan: positional rare-token index over licence notices, native.
 
+``index`` cuts every text into words once and keeps the places of the words that
+the notices have (with the number of all words); written, as both steps read it.
 ``fit`` counts, over all documents, in how many each word of the key phrases
 occurs. The two rarest words of each mandatory key phrase head its posting
 lists. ``scan`` looks those words up in each file, turns every occurrence into
@@ -65,14 +67,31 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(safe), F.lit(WORD), F.lit(0))
 
 
+INDEX = "array<struct<i:int,w:string>>"
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """doc_id, n_words, hits: the place (from 0) of every word that a notice has. Not written yet."""
+    vocab = sorted({w for t in templates for w in f"{t.key} {t.notice}".split()})
+    rows = id_text(docs, id_col, text_col).select("doc_id", _words(F.col("text")).alias("words"))
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocab), F.struct(i.alias("i"), w.alias("w")))),
+                    lambda h: h.isNotNull())
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.cast(INDEX).alias("hits"))
+
+
+def _indexed(docs: DataFrame, id_col: str, text_col: str, templates: tuple[Template, ...]) -> DataFrame:
+    return docs if dict(docs.dtypes).get("hits") == INDEX else index(docs, id_col, text_col, templates)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
-    """Document frequency, over all documents, of each key-phrase word (one row a word
-    reaches the driver: as many as the templates have)."""
+    """Document frequency, over all documents (or their ``index``), of each key-phrase word (one row a
+    word reaches the driver: as many as the templates have)."""
     vocab = sorted({w for t in templates for w in t.key.split()})
-    present = F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, vocab)))
-    rows = (id_text(docs, id_col, text_col).select(F.explode(present).alias("word"))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect())
+    held = F.array_distinct(F.transform("hits", lambda h: h["w"]))
+    rows = (_indexed(docs, id_col, text_col, templates).select(F.explode(held).alias("word"))
+            .where(F.col("word").isin(vocab)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect())
     return dict.fromkeys(vocab, 0) | {r["word"]: r["n"] for r in rows}
 
 
@@ -82,7 +101,7 @@ def _strings(values) -> Column:
 
 def scan(docs: DataFrame, df: dict[str, int], id_col: str = "doc_id", text_col: str = "text",
          templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """doc_id, n_words, places array<struct<template, start, label, base, match>>.
+    """doc_id, n_words, places array<struct<template, start, label, base, match>> of documents or their ``index``.
 
     ``match`` is the part of the notice's words that stand at their relative
     positions around the verified key phrase (0 to 1].
@@ -95,12 +114,7 @@ def scan(docs: DataFrame, df: dict[str, int], id_col: str = "doc_id", text_col:
         for side in (0, 1):
             word = rare[min(side, len(rare) - 1)]
             postings[side].setdefault(word, []).extend((t, q) for q, w in enumerate(key) if w == word)
-    anchors = sorted(set(postings[0]) | set(postings[1]))
-
-    rows = id_text(docs, id_col, text_col).select("doc_id", _words(F.col("text")).alias("words"))
-    rows = rows.withColumn("hits", F.filter(
-        F.transform("words", lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("w"), i.cast("long").alias("i")))),
-        lambda h: h.isNotNull()))
+    rows = _indexed(docs, id_col, text_col, templates).select("doc_id", "n_words", "hits")
 
     def starts(side: int) -> Column:
         # start * total + template; the first posting word of a file's hit decides the row of the map
@@ -108,7 +122,7 @@ def scan(docs: DataFrame, df: dict[str, int], id_col: str = "doc_id", text_col:
                                (F.lit(w), F.array(*[F.lit(-q * total + t).cast("long") for t, q in places]))])
         own = F.filter(F.col("hits"), lambda h: h["w"].isin(sorted(postings[side])))
         return F.flatten(F.transform(own, lambda h: F.transform(
-            F.element_at(table, h["w"]), lambda p: h["i"] * total + p)))
+            F.element_at(table, h["w"]), lambda p: h["i"].cast("long") * total + p)))
 
     keys = F.array(*[_strings(t.key.split()) for t in templates])
     notices = F.array(*[_strings(t.notice.split()) for t in templates])
@@ -120,19 +134,27 @@ def scan(docs: DataFrame, df: dict[str, int], id_col: str = "doc_id", text_col:
     rows = rows.withColumn("at", F.filter("at", lambda c: (c >= 0)))
     rows = rows.withColumn("at", F.transform("at", lambda c: F.struct(
         (c % total).cast("int").alias("t"), F.floor(c / total).cast("int").alias("s"))))
-    rows = rows.withColumn("at", F.filter("at", lambda c: F.slice(
-        F.col("words"), c["s"] + 1, F.size(F.get(keys, c["t"]))) == F.get(keys, c["t"])))
+    rows = rows.withColumn("word_at", F.when(F.size("at") > 0, F.map_from_entries("hits")))
+
+    def word(place: Column) -> Column:
+        return F.try_element_at("word_at", place.cast("int"))
+
+    def phrase_at(c: Column) -> Column:
+        key = F.get(keys, c["t"])
+        return F.forall(F.sequence(F.lit(0), F.size(key) - 1), lambda j: F.coalesce(word(c["s"] + j) == F.get(key, j), F.lit(False)))
+
+    rows = rows.withColumn("at", F.filter("at", phrase_at))
 
     def match(c: Column) -> Column:
         notice = F.get(notices, c["t"])
-        same = F.filter(F.sequence(F.lit(0), F.size(notice) - 1), lambda j: F.get(
-            F.col("words"), c["s"] - F.get(ahead, c["t"]) + j) == F.get(notice, j))
+        same = F.filter(F.sequence(F.lit(0), F.size(notice) - 1),
+                        lambda j: word(c["s"] - F.get(ahead, c["t"]) + j) == F.get(notice, j))
         return F.size(same) / F.size(notice)
 
     places = F.transform("at", lambda c: F.struct(
         c["t"].alias("template"), c["s"].cast("long").alias("start"), F.get(labels, c["t"]).alias("label"),
         F.get(base, c["t"]).alias("base"), match(c).alias("match")))
-    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"))
+    return rows.select("doc_id", "n_words", places.alias("places"))
 
 
 def summary(places: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opslens.llm import (bpe_count, curve, decontaminate, gam, importance, license_scan, packing, simhash, spelling,
                          token_store, toxicity, warc, winnow)
-from opslens.llm.common import documents
+from opslens.llm.common import documents, settle
 
 
 def tokenizer(name: str) -> str:
@@ -22,8 +22,8 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return license_scan.summary(license_scan.scan(docs, license_scan.fit(docs)))
+    found = settle(license_scan.index(documents(spark, sf_dir)), "licence-words")
+    return license_scan.summary(license_scan.scan(found, license_scan.fit(found)))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
