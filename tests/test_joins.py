@@ -60,7 +60,8 @@ def scores(docs, query):
 def test_search_scores_few_documents(spark):
     rng = random.Random(3)
     words = ["disk", "error", "network", "diskfull", "the", "of", "is", "latency", "spike", "cpu", "render", "queue"]
-    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(1500)]
+    # most documents have one of the words at most, a few have many
+    docs = [(i, " ".join([f"filler{rng.randrange(300)}", *rng.choices(words, k=rng.random() < 0.3 if i % 200 else 20)])) for i in range(6000)]
     docs[7] = (7, "network error " * 9 + "the disk is full")
     docs[900] = (900, "disk " * 30)
     queries = [(1, "disk error"), (2, "The disk is full"), (3, "latency spike of the render queue"), (4, "is"), (5, "nothing here"),
@@ -74,8 +75,11 @@ def test_search_scores_few_documents(spark):
     for q, text in queries:
         if text:  # every document contains the empty text
             assert got.get(q, []) == scores(docs, text)[:4], text
-    matching = sum(len(scores(docs, t)) for _, t in queries if t)
-    assert report["scored"].count() < matching / 2
+    # of three words and more few documents are scored; a short query's phrase can be wherever its longest
+    # word is, and "is" ties all its documents, which go by id
+    counts = {r.item_id: r["count"] for r in report["scored"].groupBy("item_id").count().collect()}
+    matching = {q: len(scores(docs, t)) for q, t in queries if t}
+    assert counts[2] < matching[2] / 2 and counts[3] < matching[3] / 4 and counts[1] < matching[1], (counts, matching)
 
 
 def test_contains_join_in_slices(spark):
