@@ -39,7 +39,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SPLIT = 32_768
-CHUNK = 1 << 16  # (query, block) pairs compared at a time
+CHUNK = 1 << 14  # (query, block) pairs compared at a time
 
 
 def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -251,7 +251,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links(best.select(F.col("node").alias("fp")), radius))
     kept = (best.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class"))
             .agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)))
-    return held.join(kept, row, "left_semi").select(docs.columns)
+    # the kept numbers are hashed, so that whole texts need no sorting
+    return held.join(kept.hint("shuffle_hash"), row, "left_semi").select(docs.columns)
 
 
 def hex16(fp: str) -> Column:
