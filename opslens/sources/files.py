@@ -53,20 +53,26 @@ def incident_history(spark: SparkSession, path: str, limit: int = 20) -> DataFra
     return read_incidents(spark, path).orderBy(F.col("file_time").desc(), F.col("file")).limit(limit)
 
 
+def _whole_texts(spark: SparkSession, path: str, glob: str, recursive: bool = False) -> DataFrame:
+    """A row a file, its bytes taken as text. The reader of whole binary files opens a file at once, where
+    that of whole texts sets up a Hadoop record reader for each."""
+    d = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+         .option("recursiveFileLookup", str(recursive).lower()).load(path))
+    return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
+                    F.col("_metadata.file_modification_time").alias("mtime"), F.col("content").cast("string").alias("text"))
+
+
 def read_documents(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
     """Markdown files as whole texts with name and modification time; an
     optional category sub-folder."""
     p = f"{path.rstrip('/')}/{category}" if category else path
-    d = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(p, wholetext=True)
-    return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
-                    F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"))
+    return _whole_texts(spark, p, "*.md", recursive=True)
 
 
 def read_scripts(spark: SparkSession, path: str, glob: str = "*.ms") -> DataFrame:
     """Script files as whole texts, carriage returns removed."""
-    d = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return d.select(F.col("_metadata.file_path").alias("path"),
-                    F.regexp_replace("value", "\r", "").alias("text"))
+    d = _whole_texts(spark, path, glob)
+    return d.select("path", F.regexp_replace("text", "\r", "").alias("text"))
 
 
 def read_render_list(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,19 @@ def test_read_documents_and_scripts(spark, tmp_path):
     assert "\r" not in s.text
 
 
+def test_whole_files_need_no_record_reader(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, body in (("a.md", "é\r\nx\n".encode()), ("sub/b.md", b"\xff\x00z"), ("sub/c.md", b""), ("d.txt", b"no")):
+        (tmp_path / name).write_bytes(body)
+    found = files.read_documents(spark, str(tmp_path))
+    plain = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(str(tmp_path), wholetext=True)
+    columns = ["_metadata.file_path", "_metadata.file_name", "_metadata.file_modification_time", F.col("value").cast("binary")]
+    rows = sorted(map(tuple, found.withColumn("text", F.col("text").cast("binary")).collect()))
+    assert rows == sorted(map(tuple, plain.select(*columns).collect()))
+    for df in (found, files.read_scripts(spark, str(tmp_path), "*.md")):
+        assert "Text" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_render_and_conversion_lists(spark, tmp_path):
     (tmp_path / "rl.csv").write_text("A,B,C,D,E,F,G\nC1,CATEGORY:Sofa;SUBCATEGORY:Two,,,,,1\n,,,,,,\n"
                                      "C2,plain,,,,,0\n,CATEGORY:X,,,,,1\n")
