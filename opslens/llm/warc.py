@@ -120,7 +120,8 @@ _REST = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+>"""
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|blockquote|pre|title)"
                     r"|br|hr)\b" + _REST, re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z]" + _REST)
-_CODE = re.compile(r"<!--.*?-->|(<(script|style)\b" + _REST + r").*?(</\2\s*>)", re.S | re.I)
+_CODE = re.compile(r"<(?:!--.*?-->|((script|style)\b" + _REST + r").*?(</\2\s*>))", re.S | re.I)
+_ROOTED = re.compile(r"/(?:[\w-]+(?:/[\w-]+)*)?")  # a path that joining leaves as it is
 _LINK = re.compile(r"<(a|link|img|script|iframe|source)\b(" + _REST + ")", re.I)
 _VALUE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -136,14 +137,17 @@ def plain_text(page: str) -> str:
     head, tail = _closed(page)
     head, rest = _closed(_DROP.sub(" ", head))
     text = html.unescape(_TAG.sub("", _BREAK.sub("\n", head)) + rest + tail)
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return "\n".join([plain for line in text.split("\n") if (plain := " ".join(line.split()))])
 
 
 def links_of(page: str, base: str | None) -> list[dict[str, str]]:
     """Links of a whole page: all but what stands in comments and inside scripts and styles."""
-    out = []
-    page = _closed(_CODE.sub(lambda m: (m[1] or " ") + (m[3] or ""), _closed(page)[0]))[0]
+    out, base = [], base or ""
+    try:
+        root = urljoin(base, "/")  # joined with a plain path from the root only once a page
+    except ValueError:
+        root = None
+    page = _closed(_CODE.sub(lambda m: f"<{m[1]}{m[3]}" if m[1] else " ", _closed(page)[0]))[0]
     for tag, rest in _LINK.findall(page):
         found = next(((name.lower(), *value) for name, *value in _VALUE.findall(rest) if name.lower() in ("href", "src")), None)
         if found is None:
@@ -151,7 +155,8 @@ def links_of(page: str, base: str | None) -> list[dict[str, str]]:
         url = html.unescape(next((v for v in found[1:] if v), ""))
         path = f"{tag.lower()}@/{found[0]}"
         try:
-            out.append({"path": path, "url": urljoin(base or "", url)})
+            joined = root + url[1:] if root and _ROOTED.fullmatch(url) else urljoin(base, url)
+            out.append({"path": path, "url": joined})
         except ValueError:  # a malformed host stays as written
             out.append({"path": path, "url": url})
     return out

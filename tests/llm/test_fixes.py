@@ -100,3 +100,23 @@ def test_windows_of_many_equal_items():
     grams = decontaminate.NGrams([(f"i{k:03d}", text) for k in range(50)] + [("short", "w3 w4"), ("other", "w29 w28 w27")])
     n, spans, items = decontaminate.NGrams.of(grams.state).scan("x " + text[: text.index(" w12")] + " y w29 w28 w27")
     assert items == [*(f"i{k:03d}" for k in range(50)), "other", "short"] and spans == [(1, 13), (14, 17)] and n == 17
+
+
+def test_plain_links_are_joined_once_a_page(monkeypatch):
+    calls, join = [], warc.urljoin
+    monkeypatch.setattr(warc, "urljoin", lambda base, url: calls.append(url) or join(base, url))
+    plain = [f"/ä{i}/b-{i}" for i in range(50)]
+    odd = ["/a/../b", "/a//b", "//h/x", "/a;p", "/a?q#f", "b", "/", "/a/", "#f", "http://[x", "/a b"]
+    page = "<!--<a href='/no'>--><script src='/s'>'<a href=/no>'</script >" + "".join(f'<a href="{u}">' for u in plain + odd)
+    for base in (None, "", "http://h:8/p/q?x#y", "mailto:a@b", "x/y", "//n/p", "http://[bad"):
+        calls.clear()
+        got = [x["url"] for x in warc.links_of(page, base)]
+        if base == "http://h:8/p/q?x#y":
+            assert len(calls) < 15
+        want = []
+        for u in ["/s", *plain, *odd]:
+            try:
+                want.append(join(base or "", u))
+            except ValueError:
+                want.append(u)
+        assert got == want, base
