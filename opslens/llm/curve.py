@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.common import id_text, order_bucket, settle, shuffle_width
-from opslens.llm.tokens import WordEncoder, slices
+from opslens.llm.tokens import slices, worker_encoder
 
 CAPACITY = 2048
 SLICE_BYTES = 8_000_000
+MEMO_BYTES = 32_000_000  # words and ids that a worker remembers
 BUCKETS = 4096
 DIMENSIONS = 4
 BITS = 9       # levels of a dimension
@@ -102,7 +103,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, keeps_blank=True)
+        encoder = worker_encoder(tokenizer_path, True, MEMO_BYTES)
         top = max(len(encoder.edge), end_id + 1)
         projector, narrow = Projector(top), "<u2" if top <= 1 << 16 else "<u4"
         for batch in batches:

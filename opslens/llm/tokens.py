@@ -13,6 +13,7 @@ import codecs
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,11 +85,12 @@ def _byte_letters() -> str:
 
 class WordEncoder:
     """Ids of whole texts for a tokenizers file; ``keeps_blank`` says that its words keep the
-    blank before them (byte-level vocabularies)."""
+    blank before them (byte-level vocabularies). Words and their ids are remembered up to
+    ``memo_bytes``, then forgotten."""
 
     LINE = 4096  # words encoded in one call
 
-    def __init__(self, path: str, keeps_blank: bool):
+    def __init__(self, path: str, keeps_blank: bool, memo_bytes: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core only
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
@@ -105,6 +107,29 @@ class WordEncoder:
         self.keeps_blank = keeps_blank
         self.plain = f"^{' ' if keeps_blank else ''}[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
         self.letters = _byte_letters()
+        self.memo_bytes = memo_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.span = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros((2, 0), np.int64)
+
+    def _recalled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``_learn``, of words that are not remembered only."""
+        if not self.memo_bytes:
+            return self._learn(words)
+        if self.known.nbytes + self.flat.nbytes + self.span.nbytes > self.memo_bytes:
+            self._forget()
+        words = words.cast(pa.string())
+        at = pc.index_in(words, self.known)
+        rows = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        fresh = words.take(pa.array(rows))
+        flat, span = self._learn(fresh)
+        span[0] += len(self.flat)
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[rows] = len(self.known) + np.arange(len(rows))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.flat, self.span = np.concatenate((self.flat, flat)), np.concatenate((self.span, span), axis=1)
+        return self.flat, self.span[:, place]
 
     def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in some order, (first, size) of each word among them)."""
@@ -138,9 +163,15 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, offsets of each text among them)."""
         words, codes, offsets = words_of(self.cut(texts))
-        flat, (first, size) = self._learn(words)
+        flat, (first, size) = self._recalled(words)
         size = size[codes]
         ends = np.concatenate(([0], np.cumsum(size)))
         at = np.repeat(first[codes] - ends[:-1], size)
         at += np.arange(len(at))
         return flat[at], ends[offsets]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, keeps_blank: bool, memo_bytes: int) -> WordEncoder:
+    """The encoder that a Python worker keeps for all its tasks: its file is read, and words are learnt, once."""
+    return WordEncoder(path, keeps_blank, memo_bytes)

@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from opslens.llm import decontaminate, gam, packing, simhash, toxicity, warc
+from opslens.llm import decontaminate, gam, packing, simhash, tokens, toxicity, warc
+from opslens.llm.queries import tokenizer
 
 TEXTS = ["the quick brown fox jumps over the lazy dog again and again until it is tired of all that",
          "a wholly different sentence about rivers, mountains and the sea that nobody has written before",
@@ -120,3 +122,18 @@ def test_plain_links_are_joined_once_a_page(monkeypatch):
             except ValueError:
                 want.append(u)
         assert got == want, base
+
+
+def test_words_are_learnt_once():
+    path, seen = tokenizer("byte_bpe_50k.json"), []
+    texts = pa.array(["", "One one two, <|x|> three  four\n", "é" * 30 + " two", " one two three", "<|endoftext|>", "five six"])
+    plain = tokens.WordEncoder(path, keeps_blank=True)
+    for limit in (1, 1_000_000):  # forgotten before each slice, or kept
+        encoder = tokens.WordEncoder(path, keeps_blank=True, memo_bytes=limit)
+        learn = encoder._learn
+        encoder._learn = lambda words, learn=learn: seen.append(words.to_pylist()) or learn(words)
+        for part in (texts, texts.slice(2), texts.slice(0, 3)):
+            assert [x.tolist() for x in encoder.encode(part)] == [x.tolist() for x in plain.encode(part)]
+        kept, seen = seen, []
+        assert bool(kept[1] or kept[2]) == (limit == 1)
+    assert tokens.worker_encoder(path, True, 5) is tokens.worker_encoder(path, True, 5)
